@@ -536,13 +536,13 @@ add("auto_close", f"""WITH {POINTS}{INC}, fp AS (SELECT incident_id, arg_min(pla
 # --- archives and payloads ---------------------------------------------------------------------------------------------------------
 ARCH = """arc AS (SELECT (conv_id * 1000 + turn)::VARCHAR AS message_id, CASE WHEN turn % 4 = 0 THEN role ELSE 'chat ' || conv_id END AS sender,
   CASE WHEN turn % 3 = 0 THEN 'turn ' || turn ELSE 'turn ' || role END AS text,
-  CASE WHEN turn % 2 = 0 OR turn % 5 <> 4 THEN TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 45) END AS at,
+  CASE WHEN turn % 2 = 0 OR turn % 5 <> 4 THEN TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 45) END AS at_time,
   CASE WHEN turn > 0 THEN (conv_id * 1000 + turn - 1)::VARCHAR END AS reply_to FROM conversations WHERE turn % 3 <> 2)"""
-add("archive_flatten", f"WITH {ARCH} SELECT message_id, sender, text, epoch_us(at) AS received_us, reply_to, at IS NULL AS rejected FROM arc")
-add("archive_quality", f"WITH {ARCH} SELECT count(*) AS total, count(at) AS kept, count(*) - count(at) AS no_date, epoch_us(min(at)) AS first_us, epoch_us(max(at)) AS last_us FROM arc")
-add("archive_hours", f"WITH {ARCH}, k AS (SELECT * FROM arc WHERE at IS NOT NULL) " + HOURS.format(t="at", o=0, s="k", k=5))
-add("archive_edges", f"""WITH {ARCH} SELECT * FROM (SELECT 'first' AS side, message_id, epoch_us(at) AS received_us FROM arc WHERE at IS NOT NULL ORDER BY at, message_id LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'last', message_id, epoch_us(at) FROM arc WHERE at IS NOT NULL ORDER BY at DESC, message_id DESC LIMIT 5)""")
+add("archive_flatten", f"WITH {ARCH} SELECT message_id, sender, text, epoch_us(at_time) AS received_us, reply_to, at_time IS NULL AS rejected FROM arc")
+add("archive_quality", f"WITH {ARCH} SELECT count(*) AS total, count(at_time) AS kept, count(*) - count(at_time) AS no_date, epoch_us(min(at_time)) AS first_us, epoch_us(max(at_time)) AS last_us FROM arc")
+add("archive_hours", f"WITH {ARCH}, k AS (SELECT * FROM arc WHERE at_time IS NOT NULL) " + HOURS.format(t="at_time", o=0, s="k", k=5))
+add("archive_edges", f"""WITH {ARCH} SELECT * FROM (SELECT 'first' AS side, message_id, epoch_us(at_time) AS received_us FROM arc WHERE at_time IS NOT NULL ORDER BY at_time, message_id LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 'last', message_id, epoch_us(at_time) FROM arc WHERE at_time IS NOT NULL ORDER BY at_time DESC, message_id DESC LIMIT 5)""")
 add("payload_json", f"""WITH {SIGHT}, j AS (SELECT message_id, '{{"timestamp":"' || strftime(ts, '%H:%M:%S') || '","sender":"channel ' || scope || '","threat":"' || type || '","category":"'
   || CASE WHEN type = 'Rocket' THEN 'Missile' ELSE 'Drone' END || '","settlements":"' || CASE WHEN lost THEN '' ELSE place END || '","direction":"","status":"' || {MARK}
   || '","confidence":0.5,"text":"message number ' || message_id || '"}}' AS p FROM sight)

@@ -18,6 +18,7 @@ from tocsin.operators import (
 )
 from tocsin.operators.profiles import join_profiles, max_distance
 from tocsin.plans import forecasts as FC
+from tocsin.session import cut_lineage, scratch_dir
 from tocsin.settings import LIMITS
 from tocsin.sources import archive as A, tables as TB
 from tocsin.streaming import jobs as J
@@ -117,12 +118,14 @@ def graph_nodes(spark, d):
 
 def _edge_rows(spark, d):
     pts = X.points(spark, d)
-    return P.edge_rows(P.features(pts, P.rollup(pts)))
+    feats = cut_lineage(P.features(pts, P.rollup(pts)), "features")
+    return cut_lineage(P.edge_rows(feats), "edge-rows")
 
 
 @query
 def graph_edges(spark, d):
-    e = P.graph_edges(_edge_rows(spark, d))
+    pts = X.points(spark, d)
+    _, e = FC.graph_model(pts, P.rollup(pts))
     return e.select("src", "dst", "n", r6("prob").alias("prob"), r6("delay_mean").alias("delay_mean"),
                     r6("delay_dev").alias("delay_dev"), r6("km_mean").alias("km_mean"),
                     us("last_time").alias("last_us"))
@@ -815,7 +818,6 @@ def stream_first_texts(spark, d):
 def stream_assign(spark, d):
     """Sightings fed as a stream through the stateful assignment; counts per action."""
     s = X.sightings(spark, d)
-    from tocsin.session import scratch_dir
     src = scratch_dir(spark, "sightings")
     s.repartitionByRange(4, "ts").write.parquet(src)
     stream = J.message_stream(spark, src, s.schema)

@@ -101,10 +101,32 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / longer)
 
 
+BLOCK = 200
+
+
+def _pieces(c: Column, n: int) -> Column:
+    top = F.length(c) - n + 1
+    pos = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
+    return F.transform(pos, lambda i: F.substring(c, i, F.lit(n)))
+
+
+def grams(c: Column, n: int) -> Column:
+    """Distinct ``n``-character pieces of a text.
+
+    ``substring`` walks from the start of the string, so the text is first cut into overlapping blocks.
+    Passing it through a one-element array evaluates the input expression once, not once per piece.
+    """
+    def blocks(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.length(t) - n) / BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last),
+                           lambda b: F.substring(t, b * BLOCK + 1, F.lit(BLOCK + n - 1)))
+
+    cut = F.flatten(F.transform(F.array(c), blocks))
+    return F.array_distinct(F.flatten(F.transform(cut, lambda b: _pieces(b, n))))
+
+
 def bigrams(c: Column) -> Column:
-    n = F.length(c)
-    pos = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(pos, lambda i: F.substring(c, i, F.lit(2))))
+    return grams(c, 2)
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,17 +28,18 @@ def near_pairs(df: DataFrame, key: str, text: str, scope: list[str], ts: str,
     """
     m = df.select(key, *[c for c in scope if c != key], ts, dedup_form(F.col(text)).alias("_t"))
     m = m.withColumn("_len", F.length("_t"))
-    h = with_history(m, scope, ts, [key], [key, "_t", "_len"], rows, seconds, "_h")
+    h = with_history(m, scope, ts, [key], [key, "_t", "_len"], rows, seconds, "_near")
     longer = lambda x: F.greatest(x["_len"], F.col("_len"))
-    near = F.filter("_h", lambda x: F.abs(x["_len"] - F.col("_len")) <= (1 - threshold) * longer(x) + 1e-9)
+    near = F.filter("_near", lambda x: F.abs(x["_len"] - F.col("_len")) <= (1 - threshold) * longer(x) + 1e-9)
     p = h.select(key, "_t", "_len", F.explode(near).alias("o"))
     width = F.greatest(F.col("_len"), F.col("o._len"))
-    p = p.withColumn("_w", width).withColumn(
-        "_d", F.when(F.col("_t") == F.col("o._t"), 0).otherwise(
-            F.levenshtein("_t", F.col("o._t"))))
-    sim = F.when(F.col("_w") == 0, 1.0).otherwise(1.0 - F.col("_d") / F.col("_w"))
-    return p.select(key, F.col(f"o.{key}").alias("earlier_id"), sim.alias("similarity")).where(
-        F.col("similarity") >= threshold)
+    most = F.floor((1 - threshold) * width + 1e-9).cast("int")
+    # the banded distance is -1 beyond the cut-off
+    d = F.when(F.col("_t") == F.col("o._t"), 0).otherwise(
+        F.call_function("levenshtein", F.col("_t"), F.col("o._t"), most))
+    p = p.select(key, F.col(f"o.{key}").alias("earlier_id"), width.alias("_w"), d.alias("_d")).where("_d >= 0")
+    sim = F.when(F.col("_w") == 0, 1.0).otherwise(1.0 - F.try_divide(F.col("_d"), F.col("_w")))
+    return p.select(key, "earlier_id", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -70,6 +71,26 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+GRAM = 5
+
+
+def gram_counts(text: str) -> Counter:
+    return Counter(text[i:i + GRAM] for i in range(len(text) - GRAM + 1))
+
+
+def may_be_near(a: tuple[str, Counter], b: tuple[str, Counter], threshold: float) -> bool:
+    """Exact filter: k edits destroy at most k * GRAM of the longer text's pieces."""
+    w = max(len(a[0]), len(b[0]))
+    k = int((1 - threshold) * w + 1e-9)
+    if abs(len(a[0]) - len(b[0])) > k:
+        return False
+    need = w - GRAM + 1 - k * GRAM
+    if need <= 0:
+        return True
+    small, large = (a[1], b[1]) if len(a[1]) <= len(b[1]) else (b[1], a[1])
+    return sum(min(n, large[g]) for g, n in small.items() if g in large) >= need
+
+
 class RetainedBuffer:
     """The last ``size`` retained messages of one scope inside the time window."""
 
@@ -81,20 +102,21 @@ class RetainedBuffer:
         while self.items and self.items[0][0] < ts - self.seconds:
             self.items.popleft()
         best, best_id = 0.0, None
-        for _, mid, other in self.items:
+        for _, mid, other, _ in self.items:
             if other == text:
                 return mid, 1.0
-        for _, mid, other in self.items:
-            w = max(len(other), len(text))
-            if abs(len(other) - len(text)) > (1 - self.threshold) * w + 1e-9:
+        mine = (text, gram_counts(text))
+        for _, mid, other, grams in self.items:
+            if not may_be_near(mine, (other, grams), self.threshold):
                 continue
+            w = max(len(other), len(text))
             s = 1.0 - edit_distance(text, other) / w if w else 1.0
             if s > best:
                 best, best_id = s, mid
         return (best_id, best) if best >= self.threshold else None
 
     def keep(self, ts: float, mid, text: str) -> None:
-        self.items.append((ts, mid, text))
+        self.items.append((ts, mid, text, gram_counts(text)))
         while len(self.items) > self.size:
             self.items.popleft()
 

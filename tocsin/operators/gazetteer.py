@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tocsin.functions.text import normal_phrase, normal_text
+from tocsin.functions.text import grams, normal_phrase, normal_text
 from tocsin.operators.messages import top_per
 from tocsin.operators.sizing import checked_broadcast, fits_broadcast
 from tocsin.operators.spatial import is_administrative
@@ -17,12 +17,6 @@ Normalizer = Callable[[Column], Column]
 SCAN_ROWS = 2_000
 
 
-def _grams(c: Column, n: int) -> Column:
-    top = F.length(c) - n + 1
-    pos = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
-    return F.transform(pos, lambda i: F.substring(c, i, F.lit(n)))
-
-
 def find_terms(texts: DataFrame, terms: DataFrame, text_key: str, text: str, term_key: str,
                term: str, scan_rows: int = SCAN_ROWS, gram: int = 3) -> DataFrame:
     """(text_key, term_key) for every term contained in the text, inside words too.
@@ -36,13 +30,13 @@ def find_terms(texts: DataFrame, terms: DataFrame, text_key: str, text: str, ter
     if fits_broadcast(small, scan_rows):
         return body.join(F.broadcast(small), F.col("_text").contains(F.col("_term"))).select(
             text_key, term_key)
-    pieces = small.withColumn("_g", F.explode(F.array_distinct(_grams(F.col("_term"), gram))))
+    pieces = small.withColumn("_g", F.explode(grams(F.col("_term"), gram)))
     freq = pieces.groupBy("_g").agg(F.count("*").alias("_n"))
     keyed = (
         pieces.join(freq, "_g").groupBy(term_key, "_term")
         .agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
     )
-    probe = body.select(text_key, F.explode(F.array_distinct(_grams(F.col("_text"), gram))).alias("_g"))
+    probe = body.select(text_key, F.explode(grams(F.col("_text"), gram)).alias("_g"))
     cand = probe.join(keyed, "_g").select(text_key, term_key, "_term")
     return cand.join(body, text_key).where(F.col("_text").contains(F.col("_term"))).select(
         text_key, term_key)

@@ -1,99 +1,64 @@
 """Ordered scans that do not put one hot key into one task.
 
 A plain ``lag`` or running sum over ``partitionBy(key)`` sends every row of a key to one task. Here
-the rows are windowed inside (key, time bucket); what crosses a bucket border is computed from one
-summary row per bucket and joined back.
+the rows are windowed inside (key, time bucket). What crosses a bucket border comes from one summary
+row per bucket. A key has at most one summary row per bucket of the calendar (half a million per year
+at one minute), so the window over the summaries is small however hot the key is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: bucket widths in seconds, fine to coarse
-WIDTHS = (60, 86_400)
+#: bucket width in seconds
+WIDTH = 60
 
 
-def _bucket(ts, width: int):
+def _bucket(ts: Column, width: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width * 1_000_000)).cast("long")
 
 
-def _same(a: str, b: str, cols: list[str]):
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    return cond
+def _over_buckets(keys: list[str]):
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b")
 
 
-def _carry_in(last: DataFrame, keys: list[str], fine: int, coarse: int) -> DataFrame:
-    """(keys, bucket) -> struct of the last row before the bucket, from the last row of each bucket.
-
-    Buckets are windowed inside a coarse bucket; the coarse buckets of one key are few (days), so
-    the window over them is small however hot the key is.
-    """
-    lb = last.withColumn("_day", F.floor(F.col("_b") * fine / coarse).cast("long"))
-    inner = lb.withColumn(
-        "_before", F.lag("_last").over(Window.partitionBy(*keys, "_day").orderBy("_b"))
-    )
-    days = lb.groupBy(*keys, "_day").agg(F.max_by("_last", "_b").alias("_day_last"))
-    over_days = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    days = days.withColumn("_prev_day", F.lag("_day_last").over(over_days.orderBy("_day")))
-    days = days.select(*keys, "_day", "_prev_day")
-    on = _same("i", "d", [*keys, "_day"])
-    return (
-        inner.alias("i").join(days.alias("d"), on, "left")
-        .select(*[F.col(f"i.{c}") for c in [*keys, "_b"]],
-                F.coalesce("i._before", "d._prev_day").alias("_carry"))
-    )
+def _join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], columns: list) -> DataFrame:
+    on = F.lit(True)
+    for c in [*keys, "_b"]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return rows.alias("r").join(summary.alias("s"), on, "left").select(*columns)
 
 
 def previous_row(df: DataFrame, keys: list[str], ts: str, tie: list[str], carry: list[str],
-                 out: str = "prev", widths: tuple[int, int] = WIDTHS) -> DataFrame:
+                 out: str = "prev", width: int = WIDTH) -> DataFrame:
     """Add struct ``out`` holding the ``carry`` columns of the preceding row of the same key.
 
     Order is (ts, *tie). Equal to ``lag(struct).over(partitionBy(keys))``.
     """
-    fine, coarse = widths
-    b = df.withColumn("_b", _bucket(F.col(ts), fine))
+    b = df.withColumn("_b", _bucket(F.col(ts), width))
     order = [F.col(ts), *[F.col(t) for t in tie]]
     packed = F.struct(*[F.col(c) for c in carry])
-    inner = b.withColumn(
-        "_lag", F.lag(packed).over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    )
+    rows = b.withColumn("_lag", F.lag(packed).over(Window.partitionBy(*keys, "_b").orderBy(*order)))
     last = b.groupBy(*keys, "_b").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carried = _carry_in(last, keys, fine, coarse)
-    on = _same("r", "c", [*keys, "_b"])
-    return (
-        inner.alias("r").join(carried.alias("c"), on, "left")
-        .select(*[F.col(f"r.{c}") for c in df.columns],
-                F.coalesce("r._lag", "c._carry").alias(out))
-    )
+    carried = last.select(*keys, "_b", F.lag("_last").over(_over_buckets(keys)).alias("_carry"))
+    return _join_summary(rows, carried, keys, [
+        *[F.col(f"r.{c}") for c in df.columns], F.coalesce("r._lag", "s._carry").alias(out)])
 
 
 def running_totals(df: DataFrame, keys: list[str], ts: str, tie: list[str],
-                   sums: dict[str, str], widths: tuple[int, int] = WIDTHS) -> DataFrame:
+                   sums: dict[str, str], width: int = WIDTH) -> DataFrame:
     """Running sums (current row included) of ``sums = {output: input column}`` per key."""
-    fine, coarse = widths
-    b = df.withColumn("_b", _bucket(F.col(ts), fine)).withColumn(
-        "_day", F.floor(F.col("_b") * fine / coarse).cast("long"))
+    b = df.withColumn("_b", _bucket(F.col(ts), width))
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    w = Window.partitionBy(*keys, "_day", "_b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    inner = b.select("*", *[F.sum(c).over(w).alias(f"_in_{o}") for o, c in sums.items()])
-    per_b = b.groupBy(*keys, "_day", "_b").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
-    wb = Window.partitionBy(*keys, "_day").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wd = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    before_b = per_b.select(*keys, "_day", "_b",
-                            *[F.sum(f"_s_{o}").over(wb).alias(f"_b_{o}") for o in sums])
-    before_d = (
-        per_b.groupBy(*keys, "_day").agg(*[F.sum(f"_s_{o}").alias(f"_s_{o}") for o in sums])
-        .select(*keys, "_day", *[F.sum(f"_s_{o}").over(wd).alias(f"_d_{o}") for o in sums])
-    )
-    before = before_b.join(before_d, [*keys, "_day"]).select(
-        *keys, "_day", "_b",
-        *[(F.coalesce(f"_b_{o}", F.lit(0)) + F.coalesce(f"_d_{o}", F.lit(0))).alias(f"_p_{o}")
-          for o in sums])
-    return inner.join(before, [*keys, "_day", "_b"]).select(
-        *df.columns, *[(F.col(f"_in_{o}") + F.col(f"_p_{o}")).alias(o) for o in sums])
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = b.select("*", *[F.sum(c).over(w).alias(f"_in_{o}") for o, c in sums.items()])
+    per_bucket = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    before = _over_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(*keys, "_b", *[
+        F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_p_{o}") for o in sums])
+    return _join_summary(rows, carried, keys, [
+        *[F.col(f"r.{c}") for c in df.columns],
+        *[(F.col(f"r._in_{o}") + F.col(f"s._p_{o}")).alias(o) for o in sums]])
 
 
 def with_history(df: DataFrame, scope: list[str], ts: str, tie: list[str], carry: list[str],
@@ -113,11 +78,11 @@ def with_history(df: DataFrame, scope: list[str], ts: str, tie: list[str], carry
         .withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
     )
     w = Window.partitionBy(*scope, "_b").orderBy(*order).rowsBetween(-rows, -1)
-    both = b.unionByName(tail).withColumn("_h", F.collect_list(packed).over(w)).where("_own")
+    both = b.unionByName(tail).withColumn("_rows", F.collect_list(packed).over(w)).where("_own")
     oldest = F.unix_micros(F.col(ts)) - F.lit(seconds * 1_000_000)
     return both.withColumn(
-        out, F.filter("_h", lambda h: F.unix_micros(h["_ts"]) >= oldest)
-    ).drop("_h", "_b", "_own")
+        out, F.filter("_rows", lambda h: F.unix_micros(h["_ts"]) >= oldest)
+    ).drop("_rows", "_b", "_own")
 
 
 def first_after(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,

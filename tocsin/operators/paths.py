@@ -207,7 +207,7 @@ def delay_deviation(rows: DataFrame) -> DataFrame:
     """(src, dst, delay_dev): root of the mean squared gap to the mean of the earlier delays."""
     r = rows.withColumn("_one", F.lit(1))
     t = running_totals(r, ["src", "dst"], "first_seen", ["incident_id"],
-                       {"_sum": "hours", "_n": "_one"}, (86_400, 31 * 86_400))
+                       {"_sum": "hours", "_n": "_one"}, 86_400)
     before = (F.col("_sum") - F.col("hours")) / (F.col("_n") - 1)
     sq = F.when(F.col("_n") > 1, F.pow(F.col("hours") - before, F.lit(2.0)))
     return t.groupBy("src", "dst").agg(F.count("*").alias("_c"), F.sum(sq).alias("_q")).select(
@@ -288,7 +288,7 @@ def speed_stats(points: DataFrame, n: int = 5) -> DataFrame:
     t = t.withColumn("mean_speed", mean)
     sq = total(F.transform("v", lambda x: F.pow(x - F.col("mean_speed"), F.lit(2.0))))
     t = t.withColumn("speed_dev", F.when(F.size("v") > 0, F.sqrt(sq / F.size("v"))).otherwise(0.0))
-    first, last, prev = F.col("t")[0], F.element_at("t", -1), F.element_at("t", -2)
+    first, last, prev = (F.try_element_at("t", F.lit(i)) for i in (1, -1, -2))
     t = t.withColumn("first_pt", first).withColumn("last_pt", last).withColumn("prev_pt", prev)
     whole = haversine_km(F.col("first_pt.lat"), F.col("first_pt.lon"), F.col("last_pt.lat"),
                          F.col("last_pt.lon"))
@@ -326,7 +326,7 @@ def source_history(messages: DataFrame, ts: str, tie: list[str], sender: str = "
                    confirmed: str = "confirmed", default: float = 0.5) -> DataFrame:
     """Weight of the sender after each of its messages."""
     m = messages.withColumn("_one", F.lit(1)).withColumn("_hit", F.col(confirmed).cast("int"))
-    r = running_totals(m, [sender], ts, tie, {"total": "_one", "n_confirmed": "_hit"}, (3600, 86_400))
+    r = running_totals(m, [sender], ts, tie, {"total": "_one", "n_confirmed": "_hit"}, 3600)
     return r.withColumn("weight", clamp01((default + F.col("n_confirmed") / F.col("total")) / 2)).drop(
         "_one", "_hit")
 

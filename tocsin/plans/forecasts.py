@@ -20,6 +20,7 @@ from tocsin.operators.spatial import (
     coordinates, corridor_samples, nearest_place, place_lookup, within_radius,
 )
 from tocsin.schemas import FORECAST
+from tocsin.session import cut_lineage
 from tocsin.settings import LIMITS, Limits
 
 RECON_TYPES = ["Recon", "Shark"]
@@ -149,7 +150,7 @@ def statistical(x: Inputs) -> DataFrame:
             *h.join(s, ["type", "_last"]).columns))
     tp = P.time_pattern(x.past_incidents).select("type", "tod", "dow", F.col("prob").alias("_tp"))
     c = c.join(tp, ["type", "tod", "dow"], "left").withColumn("_tp", F.coalesce("_tp", F.lit(0.1)))
-    hours = F.col("avg_km") / F.col("avg_speed")
+    hours = F.try_divide(F.col("avg_km"), F.col("avg_speed"))
     win = x.limits.attack_window_min / 60.0
     moving = (F.col("avg_km") > 0) & (F.col("avg_speed") > 0)
     factor = F.when(moving & (hours > 2 * win), 0.3).when(moving & (hours > win), 0.7).otherwise(1.0)
@@ -216,11 +217,17 @@ def best_edges(edges: DataFrame, min_count: int, k: int = 3) -> DataFrame:
                    [F.desc("_o"), F.asc("dst")], k)
 
 
+def graph_model(points: DataFrame, incidents: DataFrame, weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges). Features and edge rows feed several aggregates, so each is written once."""
+    feats = cut_lineage(P.features(points, incidents), "features")
+    rows = cut_lineage(P.edge_rows(feats), "edge-rows")
+    return cut_lineage(P.graph_nodes(feats, weight), "nodes"), P.graph_edges(rows)
+
+
 def graph(x: Inputs) -> DataFrame:
     """Follow the strongest edges of the node the incident belongs to."""
-    past = P.features(x.past_points, x.past_incidents)
-    nodes = P.graph_nodes(past, x.weight)
-    edges = best_edges(P.graph_edges(P.edge_rows(past)), x.limits.edge_min_count)
+    nodes, edges = graph_model(x.past_points, x.past_incidents, x.weight)
+    edges = best_edges(edges, x.limits.edge_min_count)
     inc = active(x.incidents).where("n_points >= 2")
     pts = x.open_points(inc)
     feats = P.features(pts, inc)

@@ -59,7 +59,7 @@ class AssignProcessor(StatefulProcessor):
         for root, inc in items.items():
             self.open.updateValue((root,), (json.dumps(inc),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
         items = self._load()
         before = set(items)
@@ -75,11 +75,11 @@ class AssignProcessor(StatefulProcessor):
             self.handle.registerTimer(int(due * 1000) + 1)
         yield result_frame(out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         items = self._load()
         before = set(items)
         state = OpenIncidents(self.limits, items)
-        state.expire(expired.getExpiryTimeInMs() / 1000)
+        state.expire(expiredTimerInfo.getExpiryTimeInMs() / 1000)
         self._store(before, state.items)
         return iter([])
 
@@ -103,10 +103,10 @@ class DedupProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("kept", "t double, message_id long, body string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         buf = RetainedBuffer(*self.args)
         for t, mid, body in (self.kept.get() if self.kept.exists() else []):
-            buf.items.append((t, mid, body))
+            buf.keep(t, mid, body)
         batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
         ids, dup, sim = [], [], []
         for r in batch.itertuples(index=False):
@@ -117,7 +117,7 @@ class DedupProcessor(StatefulProcessor):
             ids.append(int(r.message_id))
             dup.append(hit[0] if hit else None)
             sim.append(hit[1] if hit else None)
-        self.kept.put([(float(t), int(i), b) for t, i, b in buf.items])
+        self.kept.put([(float(t), int(i), b) for t, i, b, _ in buf.items])
         yield pd.DataFrame({"message_id": ids, "duplicate_of": pd.array(dup, dtype="Int64"),
                             "similarity": pd.Series(sim, dtype="float64")})
 
