@@ -125,7 +125,7 @@ def _edge_rows(spark, d):
 @query
 def graph_edges(spark, d):
     pts = X.points(spark, d)
-    _, e = FC.graph_model(pts, P.rollup(pts))
+    *_, e = FC.graph_model(pts, P.rollup(pts))
     return e.select("src", "dst", "n", r6("prob").alias("prob"), r6("delay_mean").alias("delay_mean"),
                     r6("delay_dev").alias("delay_dev"), r6("km_mean").alias("km_mean"),
                     us("last_time").alias("last_us"))

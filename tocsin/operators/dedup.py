@@ -97,6 +97,12 @@ class RetainedBuffer:
     def __init__(self, seconds: float, size: int, threshold: float):
         self.seconds, self.size, self.threshold = seconds, size, threshold
         self.items: deque = deque()
+        self.counted: tuple[str, Counter] | None = None
+
+    def _counted(self, text: str) -> Counter:
+        if self.counted is None or self.counted[0] != text:
+            self.counted = (text, gram_counts(text))
+        return self.counted[1]
 
     def find(self, ts: float, text: str) -> tuple[object, float] | None:
         while self.items and self.items[0][0] < ts - self.seconds:
@@ -105,7 +111,7 @@ class RetainedBuffer:
         for _, mid, other, _ in self.items:
             if other == text:
                 return mid, 1.0
-        mine = (text, gram_counts(text))
+        mine = (text, self._counted(text))
         for _, mid, other, grams in self.items:
             if not may_be_near(mine, (other, grams), self.threshold):
                 continue
@@ -116,7 +122,7 @@ class RetainedBuffer:
         return (best_id, best) if best >= self.threshold else None
 
     def keep(self, ts: float, mid, text: str) -> None:
-        self.items.append((ts, mid, text, gram_counts(text)))
+        self.items.append((ts, mid, text, self._counted(text)))
         while len(self.items) > self.size:
             self.items.popleft()
 

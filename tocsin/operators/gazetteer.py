@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tocsin.functions.text import grams, normal_phrase, normal_text
 from tocsin.operators.messages import top_per
-from tocsin.operators.sizing import checked_broadcast, fits_broadcast
+from tocsin.operators.sizing import checked_broadcast, fits_broadcast, spread
 from tocsin.operators.spatial import is_administrative
 
 Normalizer = Callable[[Column], Column]
 
 #: gazetteer rows up to which every text is tested against every name in place
-SCAN_ROWS = 2_000
+SCAN_ROWS = 200
+#: characters from which a term is keyed by a long piece
+LONG = 6
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, text_key: str, text: str, term_key: str,
@@ -22,24 +24,38 @@ def find_terms(texts: DataFrame, terms: DataFrame, text_key: str, text: str, ter
     """(text_key, term_key) for every term contained in the text, inside words too.
 
     A small term list is broadcast and tested with ``contains``. A larger one is keyed by the rarest
-    ``gram``-character piece of each term: texts explode into their distinct pieces, meet the terms by an
-    equi-join on the piece, and the containment is verified. Both give the same rows.
+    piece of each term: texts explode into their distinct pieces, meet the terms by an equi-join on
+    the piece, and the containment is verified. Terms of ``LONG`` characters use longer, more telling
+    pieces. Both ways give the same rows. Terms shorter than ``gram`` are not looked for.
     """
     small = terms.select(F.col(term_key), F.col(term).alias("_term")).where(F.length("_term") >= gram)
-    body = texts.select(F.col(text_key), F.col(text).alias("_text"))
+    body = spread(texts.select(F.col(text_key), F.col(text).alias("_text")))
     if fits_broadcast(small, scan_rows):
         return body.join(F.broadcast(small), F.col("_text").contains(F.col("_term"))).select(
             text_key, term_key)
+    is_long = F.length("_term") >= LONG
+    out = _by_pieces(body, small.where(is_long), text_key, term_key, LONG)
+    if not small.where(~is_long).isEmpty():
+        out = out.unionByName(_by_pieces(body, small.where(~is_long), text_key, term_key, gram))
+    return out
+
+
+def _by_pieces(body: DataFrame, terms: DataFrame, text_key: str, term_key: str, gram: int) -> DataFrame:
+    small = terms
     pieces = small.withColumn("_g", F.explode(grams(F.col("_term"), gram)))
     freq = pieces.groupBy("_g").agg(F.count("*").alias("_n"))
     keyed = (
         pieces.join(freq, "_g").groupBy(term_key, "_term")
         .agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
     )
-    probe = body.select(text_key, F.explode(grams(F.col("_text"), gram)).alias("_g"))
-    cand = probe.join(keyed, "_g").select(text_key, term_key, "_term")
-    return cand.join(body, text_key).where(F.col("_text").contains(F.col("_term"))).select(
-        text_key, term_key)
+    if fits_broadcast(keyed):
+        # the text rides along through explode and hash join; only matching pieces produce rows
+        probe = body.select(text_key, "_text", F.explode(grams(F.col("_text"), gram)).alias("_g"))
+        cand = probe.join(F.broadcast(keyed), "_g")
+    else:
+        probe = body.select(text_key, F.explode(grams(F.col("_text"), gram)).alias("_g"))
+        cand = probe.join(keyed, "_g").select(text_key, term_key, "_term").join(body, text_key)
+    return cand.where(F.col("_text").contains(F.col("_term"))).select(text_key, term_key)
 
 
 def normal_places(places: DataFrame, phrase: Normalizer = normal_phrase) -> DataFrame:

@@ -149,9 +149,9 @@ def features(points: DataFrame, incidents: DataFrame) -> DataFrame:
     path = steps(points).groupBy("incident_id").agg(
         F.coalesce(F.sum(step_km()), F.lit(0.0)).alias("path_km"),
         F.min_by(spot, order).alias("_a"), F.max_by(spot, order).alias("_z"),
-        F.round(F.avg("lat"), 9).alias("_la"), F.round(F.avg("lon"), 9).alias("_lo"))
-    names = points.groupBy("incident_id").agg(F.countDistinct("place").alias("n_places"))
-    f = incidents.join(path, "incident_id").join(names, "incident_id")
+        F.round(F.avg("lat"), 9).alias("_la"), F.round(F.avg("lon"), 9).alias("_lo"),
+        F.countDistinct("place").alias("n_places"))
+    f = incidents.join(path, "incident_id")
     hours = hours_between(F.col("last_seen"), F.col("first_seen"))
     same = F.col("_a.place") == F.col("_z.place")
     short = lambda c: F.regexp_replace(F.format_string("%.1f", tenth(c)), r"\.0$", "")

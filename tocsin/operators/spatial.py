@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tocsin.functions.geo import KM_PER_DEGREE, bearing_deg, cell, haversine_km, sectors_of
 from tocsin.operators.sizing import checked_broadcast, pair_with
+from tocsin.session import cut_lineage
 from tocsin.settings import ADMIN_SHORT, ADMIN_TERMS
 
 CELL_DEG = 0.25
@@ -38,12 +39,16 @@ def coordinates(places: DataFrame, keep: int) -> DataFrame:
     No nearest-``keep`` answer can need more than ``keep`` places of one coordinate.
     """
     p = places if "is_admin" in places.columns else with_admin_flag(places)
+    item = F.struct("place_id", "name", "is_admin")
+    if keep == 1:
+        return p.groupBy("lat", "lon").agg(F.count_if(~F.col("is_admin")).alias("n_plain"),
+                                           F.array(F.min(item)).alias("firsts"))
     counts = p.groupBy("lat", "lon").agg(F.count_if(~F.col("is_admin")).alias("n_plain"))
     w = Window.partitionBy("lat", "lon").orderBy("place_id")
     firsts = (
         p.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
         .groupBy("lat", "lon")
-        .agg(F.array_sort(F.collect_list(F.struct("place_id", "name", "is_admin"))).alias("firsts"))
+        .agg(F.array_sort(F.collect_list(item)).alias("firsts"))
     )
     return counts.join(firsts, ["lat", "lon"])
 
@@ -145,13 +150,13 @@ def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str,
     any point of the cell (triangle inequality). Points then meet just those by an equi-join.
     """
     cy, cx = cell(F.col(lat), F.col(lon), deg)
-    pts = points.withColumn("cy", cy).withColumn("cx", cx)
+    pts = cut_lineage(points.withColumn("cy", cy).withColumn("cx", cx), "projected")
     frame = _cell_frame(pts.select("cy", "cx").distinct(), deg)
     m = pair_with(frame, coordinates(places, 1)).withColumn(
         "dist", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
-    best = m.groupBy("cy", "cx").agg(F.min("dist").alias("_best"))
+    m = m.withColumn("_best", F.min("dist").over(Window.partitionBy("cy", "cx")))
     cand = (
-        m.join(best, ["cy", "cx"]).where(F.col("dist") <= F.col("_best") + 2 * F.col("reach"))
+        m.where(F.col("dist") <= F.col("_best") + 2 * F.col("reach"))
         .select("cy", "cx", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
                 F.col("firsts")[0].alias("_p"))
         .groupBy("cy", "cx").agg(F.collect_list(F.struct("_plat", "_plon", "_p")).alias("_cands"))
@@ -183,19 +188,21 @@ def _spread(places: DataFrame, km: float, deg: float) -> DataFrame:
 
 
 def within_radius(points: DataFrame, places: DataFrame, lat: str, lon: str, km: float,
-                  deg: float = CELL_DEG) -> DataFrame:
+                  deg: float | None = None) -> DataFrame:
     """(point, place) rows no farther apart than ``km``: equi-join on cells, then the exact test.
 
     Coordinates, not places, are joined; the places of a coordinate are attached afterwards only by
-    callers that need their names (see ``attach_places``).
+    callers that need their names (see ``attach_places``). Cells are about as wide as the radius.
     """
+    deg = deg or km / KM_PER_DEGREE
     cy, cx = cell(F.col(lat), F.col(lon), deg)
     pts = points.withColumn("cy", cy).withColumn("cx", cx)
     coords = _spread(places.select("lat", "lon").distinct(), km, deg).select(
         "cy", "cx", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     d = haversine_km(F.col(lat), F.col(lon), F.col("plat"), F.col("plon"))
+    row = F.abs(F.col(lat) - F.col("plat")) <= km / KM_PER_DEGREE  # cheap test ahead of the exact one
     return (
-        pts.join(coords, ["cy", "cx"]).withColumn("dist", d).where(F.col("dist") <= km)
+        pts.join(coords, ["cy", "cx"]).where(row).withColumn("dist", d).where(F.col("dist") <= km)
         .drop("cy", "cx")
     )
 

@@ -130,7 +130,7 @@ def statistical(x: Inputs) -> DataFrame:
     """Most frequent continuations of the last step and of the last two steps."""
     feats = P.features(x.points, active(x.incidents).where("n_points >= 2")).select(
         "incident_id", "tod", "dow", "avg_speed", "n_points", "last_seen")
-    stats = P.direction_stats(x.past_points, x.weight)
+    stats = cut_lineage(P.direction_stats(x.past_points, x.weight), "directions")
     cols = ["n", "prob", "avg_km", "avg_weight"]
     key = F.concat_ws("->", "k1", "k2", "k3")
     single = top_per(stats.withColumn("_key", key), ["type", "k1"], [F.desc("prob"), F.asc("_key")], 3)
@@ -139,15 +139,14 @@ def statistical(x: Inputs) -> DataFrame:
     inc = active(x.incidents).where("n_points >= 2")
     h = heads(x.open_points(inc)).select(
         "incident_id", "type", F.col("last.place").alias("_last"), F.col("before.place").alias("_before"))
-    h = h.join(feats, "incident_id")
+    h = cut_lineage(h.join(feats, "incident_id"), "heads")
     tgt = F.coalesce("k3", "k2").alias("target")
     s = single.select("type", F.col("k1").alias("_last"), "_key", tgt, *cols,
                       F.lit(0).alias("_kind"), F.col("rank").alias("_r"))
     d = double.select("type", F.col("k1").alias("_before"), F.col("k2").alias("_last"), "_key", tgt, *cols,
                       F.lit(1).alias("_kind"), F.col("rank").alias("_r"))
     c = h.join(s, ["type", "_last"]).unionByName(
-        h.where("n_points >= 3").join(d, ["type", "_before", "_last"]).select(
-            *h.join(s, ["type", "_last"]).columns))
+        h.where("n_points >= 3").join(d, ["type", "_before", "_last"]))
     tp = P.time_pattern(x.past_incidents).select("type", "tod", "dow", F.col("prob").alias("_tp"))
     c = c.join(tp, ["type", "tod", "dow"], "left").withColumn("_tp", F.coalesce("_tp", F.lit(0.1)))
     hours = F.try_divide(F.col("avg_km"), F.col("avg_speed"))
@@ -183,8 +182,11 @@ def match_nodes(open_feats: DataFrame, points: DataFrame, nodes: DataFrame) -> D
     pick = lambda: F.min(F.struct("first_rank", "node_id"))["node_id"].alias("node_id")
     by_region = nodes.groupBy("type", "region_key").agg(pick())
     f = open_feats.select("incident_id", "type", "region_key")
-    t1 = f.join(by_region, ["type", "region_key"]).select("incident_id", "node_id", F.lit(1).alias("tier"))
-    rest = f.join(t1.select("incident_id"), "incident_id", "left_anti")
+    f = cut_lineage(f.join(by_region, ["type", "region_key"], "left"), "matched")
+    t1 = f.where("node_id IS NOT NULL").select("incident_id", "node_id", F.lit(1).alias("tier"))
+    rest = f.where("node_id IS NULL").drop("node_id")
+    if rest.isEmpty():
+        return t1
 
     pts = points.join(rest.select("incident_id"), "incident_id", "left_semi").select(
         "incident_id", "type", F.lower("place").alias("_p")).distinct()
@@ -217,21 +219,20 @@ def best_edges(edges: DataFrame, min_count: int, k: int = 3) -> DataFrame:
                    [F.desc("_o"), F.asc("dst")], k)
 
 
-def graph_model(points: DataFrame, incidents: DataFrame, weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Features and edge rows feed several aggregates, so each is written once."""
+def graph_model(points: DataFrame, incidents: DataFrame, weight: float = 0.5):
+    """(features, nodes, edges). Features and edge rows feed several aggregates: each is written once."""
     feats = cut_lineage(P.features(points, incidents), "features")
     rows = cut_lineage(P.edge_rows(feats), "edge-rows")
-    return cut_lineage(P.graph_nodes(feats, weight), "nodes"), P.graph_edges(rows)
+    return feats, cut_lineage(P.graph_nodes(feats, weight), "nodes"), P.graph_edges(rows)
 
 
 def graph(x: Inputs) -> DataFrame:
     """Follow the strongest edges of the node the incident belongs to."""
-    nodes, edges = graph_model(x.past_points, x.past_incidents, x.weight)
+    past, nodes, edges = graph_model(x.past_points, x.past_incidents, x.weight)
     edges = best_edges(edges, x.limits.edge_min_count)
-    inc = active(x.incidents).where("n_points >= 2")
-    pts = x.open_points(inc)
-    feats = P.features(pts, inc)
-    at = match_nodes(feats, pts, nodes)
+    same = x.past_points is x.points and x.past_incidents is x.incidents
+    feats = active(past if same else P.features(x.points, x.incidents)).where("n_points >= 2")
+    at = match_nodes(feats, x.points, nodes)
     target = nodes.select(F.col("node_id").alias("dst"), F.col("region_key").alias("_region"))
     hop = at.join(edges.withColumnRenamed("src", "node_id"), "node_id").join(target, "dst")
     g = hop.groupBy("incident_id", "node_id").agg(
