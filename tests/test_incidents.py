@@ -91,7 +91,7 @@ def random_rows(n=400, seed=4):
 
 
 def whole_stream(rows):
-    """The reference result: one state per scope over the whole stream, no islands."""
+    """The reference result: one state per scope over the whole stream, no chunks."""
     states, out = {}, set()
     for r in sorted(rows, key=lambda r: (r[2], r[1])):
         state = states.setdefault(r[0], I.OpenIncidents(LIMITS))
@@ -102,7 +102,7 @@ def whole_stream(rows):
     return out
 
 
-def test_islands_equal_whole_stream(spark):
+def test_chunked_replay_equals_whole_stream(spark):
     rows = random_rows()
     got = I.assign(spark.createDataFrame(rows, SCHEMA))
     have = {(r.message_id, r.root, r.action) for r in got.collect()}

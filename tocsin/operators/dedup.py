@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.functions.text import bigram_jaccard, dedup_form, text_hash
 from tocsin.operators.ordered import previous_row, running_totals, with_history
+from tocsin.operators.replay import replay
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -104,9 +105,22 @@ class RetainedBuffer:
             self.counted = (text, gram_counts(text))
         return self.counted[1]
 
-    def find(self, ts: float, text: str) -> tuple[object, float] | None:
-        while self.items and self.items[0][0] < ts - self.seconds:
+    def expire(self, now: float) -> None:
+        while self.items and self.items[0][0] < now - self.seconds:
             self.items.popleft()
+
+    def dump(self) -> str:
+        return json.dumps([[t, int(mid), text] for t, mid, text, _ in self.items])
+
+    def step(self, row) -> list[dict]:
+        t = row.ts.value / 1e9
+        hit = self.find(t, row.body)
+        if hit is None:
+            self.keep(t, int(row.message_id), row.body)
+        return [{"of": hit[0] if hit else None, "similarity": hit[1] if hit else None}]
+
+    def find(self, ts: float, text: str) -> tuple[object, float] | None:
+        self.expire(ts)
         best, best_id = 0.0, None
         for _, mid, other, _ in self.items:
             if other == text:
@@ -141,32 +155,27 @@ def retained(df: DataFrame, key: str, text: str, scope: str, ts: str, seconds: i
              rows: int = 50, threshold: float = 0.9) -> DataFrame:
     """Greedy duplicate marking: a message is compared with retained messages only.
 
-    Adds duplicate_of and similarity (null when retained). A pause longer than the window empties the
-    buffer, so (scope, island) streams are independent. Each is read in time order with the buffer as
-    its only state; no group is materialised.
+    Adds duplicate_of and similarity (null when retained). Runs as a chunked replay: the state is the
+    buffer, which the time window and its size bound.
     """
-    m = df.select(scope, key, ts, dedup_form(F.col(text)).alias("_t"))
-    isl = islands(m, [scope], ts, [key], seconds)
-    ordered = isl.repartition(scope, "island").sortWithinPartitions(scope, "island", ts, key).select(
-        scope, "island", key, (F.unix_micros(ts) / F.lit(1e6)).alias("_s"), "_t")
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, buf = None, None
-        for pdf in batches:
-            dup, sim = [], []
-            for sc, isl_no, mid, s, t in pdf.itertuples(index=False):
-                if (sc, isl_no) != current:
-                    current, buf = (sc, isl_no), RetainedBuffer(seconds, rows, threshold)
-                hit = buf.find(s, t)
-                if hit is None:
-                    buf.keep(s, mid, t)
-                dup.append(hit[0] if hit else None)
-                sim.append(hit[1] if hit else None)
-            yield pd.DataFrame({key: pdf[key], "duplicate_of": pd.array(dup, dtype="Int64"),
-                                "similarity": sim})
-
-    id_type = df.schema[key].dataType.simpleString()
-    return ordered.mapInPandas(mark, f"{key} {id_type}, duplicate_of {id_type}, similarity double")
+    m = df.select(F.col(scope).alias("scope"), F.col(key).cast("long").alias("message_id"),
+                  F.col(ts).alias("ts"), dedup_form(F.col(text)).alias("body"))
+
+    def new_state(dump: str | None) -> RetainedBuffer:
+        buf = RetainedBuffer(seconds, rows, threshold)
+        for t, mid, body in json.loads(dump) if dump else []:
+            buf.keep(t, mid, body)
+        return buf
+
+    def frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame({
+            "message_id": pd.array([r.message_id for r, _ in out], dtype="Int64"),
+            "duplicate_of": pd.array([o["of"] for _, o in out], dtype="Int64"),
+            "similarity": pd.Series([o["similarity"] for _, o in out], dtype="float64")})
+
+    marked = replay(m, "scope", "ts", "message_id", seconds * 20, seconds * 5,
+                    "message_id long, duplicate_of long, similarity double", new_state, frame, "retained")
+    return marked.withColumnRenamed("message_id", key)
 
 
 def neighbour_jaccard(df: DataFrame, keys: list[str], ts: str, tie: list[str], key: str,

@@ -7,16 +7,16 @@ it. Both take the SIGHTING columns of ``tocsin.schemas``.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.functions.geo import haversine_km
-from tocsin.operators.dedup import islands
 from tocsin.operators.ordered import first_after, previous_row, running_totals
 from tocsin.operators.profiles import expiry, lifetime, max_distance, max_speed
+from tocsin.operators.replay import replay
 from tocsin.settings import LIMITS, Limits
 
 PLACES = "array<struct<name:string,lat:double,lon:double>>"
@@ -41,9 +41,15 @@ class OpenIncidents:
     size follows the traffic of the longest lifetime, not the length of the stream.
     """
 
-    def __init__(self, limits: Limits = LIMITS, incidents: dict[int, dict] | None = None):
+    def __init__(self, limits: Limits = LIMITS, dump: str | None = None):
         self.limits = limits
-        self.items = incidents or {}
+        self.items: dict[int, dict] = {i["root"]: i for i in json.loads(dump)} if dump else {}
+
+    def dump(self) -> str:
+        return json.dumps([self.items[k] for k in sorted(self.items)], ensure_ascii=False)
+
+    def step(self, row) -> list[dict]:
+        return self.process(message_dict(row)) or [{"action": "none"}]
 
     def expire(self, now: float) -> list[dict]:
         gone = [i for i in self.items.values()
@@ -160,52 +166,38 @@ def message_dict(r) -> dict:
 
 
 def result_frame(rows: list[tuple]) -> pd.DataFrame:
-    """(scope, row, outcome) triples as a frame of the ASSIGNED schema."""
+    """(row, outcome) pairs as a frame of the ASSIGNED schema."""
     def at(t):
         return pd.NaT if t is None else pd.Timestamp(round(t * 1e6), unit="us")
 
     return pd.DataFrame({
-        "scope": pd.Series([s for s, _, _ in rows], dtype="int64"),
-        "message_id": pd.Series([r.message_id for _, r, _ in rows], dtype="int64"),
-        "ts": pd.to_datetime(pd.Series([r.ts for _, r, _ in rows])),
-        "type": [r.type for _, r, _ in rows],
-        "category": [r.category for _, r, _ in rows],
-        "root": pd.array([o.get("root") for _, _, o in rows], dtype="Int64"),
-        "action": [o["action"] for _, _, o in rows],
-        "status": [o.get("status") for _, _, o in rows],
-        "confidence": pd.Series([o.get("confidence") for _, _, o in rows], dtype="float64"),
-        "added": [o.get("added", []) for _, _, o in rows],
-        "removed_name": [o.get("removed_name") for _, _, o in rows],
-        "removed_ts": pd.Series([at(o.get("removed_t")) for _, _, o in rows], dtype="datetime64[us]"),
-        "recon": [bool(o.get("recon")) for _, _, o in rows],
+        "scope": pd.array([r.scope for r, _ in rows], dtype="Int64"),
+        "message_id": pd.array([r.message_id for r, _ in rows], dtype="Int64"),
+        "ts": pd.Series([r.ts for r, _ in rows], dtype="datetime64[us]"),
+        "type": pd.Series([r.type for r, _ in rows], dtype="object"),
+        "category": pd.Series([r.category for r, _ in rows], dtype="object"),
+        "root": pd.array([o.get("root") for _, o in rows], dtype="Int64"),
+        "action": pd.Series([o["action"] for _, o in rows], dtype="object"),
+        "status": pd.Series([o.get("status") for _, o in rows], dtype="object"),
+        "confidence": pd.Series([o.get("confidence") for _, o in rows], dtype="float64"),
+        "added": pd.Series([o.get("added", []) for _, o in rows], dtype="object"),
+        "removed_name": pd.Series([o.get("removed_name") for _, o in rows], dtype="object"),
+        "removed_ts": pd.Series([at(o.get("removed_t")) for _, o in rows], dtype="datetime64[us]"),
+        "recon": pd.Series([bool(o.get("recon")) for _, o in rows], dtype="boolean"),
     })
 
 
 def assign(sightings: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """One row per message and incident it touched (ASSIGNED schema); untouched messages get ``none``.
 
-    A scope is cut where it pauses longer than the longest lifetime: no incident can span the cut. Each
-    (scope, island) is read as a sorted stream by one task that holds only its open incidents. The
-    matching is sequential by definition, so a scope that never pauses is one stream: choose scopes
-    (channel group, region) accordingly, or use ``linked``.
+    Runs as a chunked replay: a day per chunk, warmed up over twice the longest lifetime. The state is
+    the set of open incidents.
     """
     s = sightings if "clear_type" in sightings.columns else sightings.withColumn(
         "clear_type", F.lit(None).cast("string"))
-    isl = islands(s, ["scope"], "ts", ["message_id"], limits.longest_expiry_min * 60)
-    ordered = isl.repartition("scope", "island").sortWithinPartitions("scope", "island", "ts", "message_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                if (r.scope, r.island) != current:
-                    current, state = (r.scope, r.island), OpenIncidents(limits)
-                out = state.process(message_dict(r)) or [{"action": "none"}]
-                rows.extend((r.scope, r, o) for o in out)
-            yield result_frame(rows)
-
-    return ordered.mapInPandas(run, ASSIGNED)
+    warm = int(limits.longest_expiry_min * 120)
+    return replay(s, "scope", "ts", "message_id", 86_400, warm, ASSIGNED,
+                  lambda dump: OpenIncidents(limits, dump), result_frame, "assign")
 
 
 def incident_id():

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tocsin.functions.text import dedup_form, text_hash
 from tocsin.operators.dedup import RetainedBuffer
-from tocsin.operators.incidents import ASSIGNED, OpenIncidents, message_dict, result_frame
+from tocsin.operators.incidents import ASSIGNED, OpenIncidents, result_frame
 from tocsin.session import scratch_dir
 from tocsin.settings import LIMITS, Limits
 
@@ -63,12 +63,9 @@ class AssignProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
         items = self._load()
         before = set(items)
-        state = OpenIncidents(self.limits, items)
-        out = []
-        for r in batch.itertuples(index=False):
-            m = message_dict(r)
-            done = state.process(m) or [{"action": "none"}]
-            out.extend((r.scope, r, o) for o in done)
+        state = OpenIncidents(self.limits)
+        state.items = items
+        out = [(r, o) for r in batch.itertuples(index=False) for o in state.step(r)]
         self._store(before, state.items)
         if state.items:
             due = max(i["seen"] + self.limits.expiry_min(i["type"]) * 60 for i in state.items.values())
@@ -78,7 +75,8 @@ class AssignProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         items = self._load()
         before = set(items)
-        state = OpenIncidents(self.limits, items)
+        state = OpenIncidents(self.limits)
+        state.items = items
         state.expire(expiredTimerInfo.getExpiryTimeInMs() / 1000)
         self._store(before, state.items)
         return iter([])
@@ -110,7 +108,7 @@ class DedupProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
         ids, dup, sim = [], [], []
         for r in batch.itertuples(index=False):
-            t = r.ts.timestamp()
+            t = r.ts.value / 1e9
             hit = buf.find(t, r.body)
             if hit is None:
                 buf.keep(t, int(r.message_id), r.body)
