@@ -34,7 +34,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
                           spark__ui__enabled="false", spark__driver__memory="12g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__ui__showConsoleProgress="false",
+                          spark__sql__adaptive__coalescePartitions__minPartitionSize="64k")
     spark.sparkContext.setLogLevel("ERROR")
     timed(spark, sf_dir, "report_places")
     times = {}

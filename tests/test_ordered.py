@@ -71,24 +71,23 @@ def test_islands_split_where_the_key_pauses(spark):
         assert gap.tolist() == g["island"].tolist()
 
 
-class Total:
-    """A state that never forgets: every chunk depends on all chunks before it."""
-
-    def __init__(self, dump=None):
-        self.n = int(dump) if dump else 0
+def test_replay_repairs_every_wrong_start(spark):
+    class Total:
+        """A state that never forgets: every chunk depends on all chunks before it."""
 
-    def expire(self, now):
-        pass
+        def __init__(self, dump=None):
+            self.n = int(dump) if dump else 0
 
-    def dump(self):
-        return str(self.n)
+        def expire(self, now):
+            pass
 
-    def step(self, row):
-        self.n += int(row.id)
-        return [{"total": self.n}]
+        def dump(self):
+            return str(self.n)
 
+        def step(self, row):
+            self.n += int(row.id)
+            return [{"total": self.n}]
 
-def test_replay_repairs_every_wrong_start(spark):
     pdf, df = stream(spark, n=120, seed=9, step=20)  # 240 s in chunks of 40 s, no warm-up
     frame = lambda out: pd.DataFrame({"id": pd.array([r.id for r, _ in out], dtype="Int64"),
                                       "total": pd.array([o["total"] for _, o in out], dtype="Int64")})

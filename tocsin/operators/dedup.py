@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 from collections import Counter, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.functions.text import bigram_jaccard, dedup_form, text_hash
-from tocsin.operators.ordered import previous_row, running_totals, with_history
+from tocsin.operators.ordered import bucket_with_tail, previous_row, running_totals
 from tocsin.operators.replay import replay
+from tocsin.session import ship_package
+
+#: piece length of the filters ahead of edit distance
+GRAM = 5
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,23 +29,34 @@ def near_pairs(df: DataFrame, key: str, text: str, scope: list[str], ts: str,
                seconds: int = 120, rows: int = 50, threshold: float = 0.9) -> DataFrame:
     """(key, earlier_id, similarity) for messages alike to one of the last ``rows`` in ``seconds``.
 
-    The history is bounded per message, so no bucket is ever paired with itself. Lengths decide first;
-    edit distance runs with a cut-off, on the whole texts.
+    The history is bounded per message, so no bucket is ever paired with itself. Each (scope, bucket) is
+    read in time order with the last ``rows`` messages at hand. Lengths decide first, then shared pieces;
+    what is left is measured by edit distance, on the whole texts.
     """
-    m = df.select(key, *[c for c in scope if c != key], ts, dedup_form(F.col(text)).alias("_t"))
-    m = m.withColumn("_len", F.length("_t"))
-    h = with_history(m, scope, ts, [key], [key, "_t", "_len"], rows, seconds, "_near")
-    longer = lambda x: F.greatest(x["_len"], F.col("_len"))
-    near = F.filter("_near", lambda x: F.abs(x["_len"] - F.col("_len")) <= (1 - threshold) * longer(x) + 1e-9)
-    p = h.select(key, "_t", "_len", F.explode(near).alias("o"))
-    width = F.greatest(F.col("_len"), F.col("o._len"))
-    most = F.floor((1 - threshold) * width + 1e-9).cast("int")
-    # the banded distance is -1 beyond the cut-off
-    d = F.when(F.col("_t") == F.col("o._t"), 0).otherwise(
-        F.call_function("levenshtein", F.col("_t"), F.col("o._t"), most))
-    p = p.select(key, F.col(f"o.{key}").alias("earlier_id"), width.alias("_w"), d.alias("_d")).where("_d >= 0")
-    sim = F.when(F.col("_w") == 0, 1.0).otherwise(1.0 - F.try_divide(F.col("_d"), F.col("_w")))
-    return p.select(key, "earlier_id", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    ship_package()
+    m = df.select(F.concat_ws("\u0001", *scope).alias("scope"), F.col(key).cast("long").alias("id"),
+                  F.col(ts).alias("ts"), dedup_form(F.col(text)).alias("body"))
+    b = bucket_with_tail(m, ["scope"], "ts", ["id"], rows, seconds)
+    ordered = b.repartition("scope", "_b").sortWithinPartitions("scope", "_b", "ts", "id").select(
+        "scope", F.col("_b").alias("bucket"), "id", "ts", "body", F.col("_own").alias("own"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, recent = None, deque(maxlen=rows)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.scope, r.bucket) != current:
+                    current, recent = (r.scope, r.bucket), deque(maxlen=rows)
+                t, mine = r.ts.value / 1e9, (r.body, gram_counts(r.body))
+                if r.own:
+                    for u, other_id, other in recent:
+                        sim = near_similarity(mine, other, threshold) if t - u <= seconds else None
+                        if sim is not None:
+                            out.append((r.id, other_id, sim))
+                recent.append((t, r.id, mine))
+            yield pd.DataFrame(out, columns=[key, "earlier_id", "similarity"])
+
+    return ordered.mapInPandas(compare, f"{key} long, earlier_id long, similarity double")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -72,9 +88,6 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-GRAM = 5
-
-
 def gram_counts(text: str) -> Counter:
     return Counter(text[i:i + GRAM] for i in range(len(text) - GRAM + 1))
 
@@ -92,6 +105,16 @@ def may_be_near(a: tuple[str, Counter], b: tuple[str, Counter], threshold: float
     return sum(min(n, large[g]) for g, n in small.items() if g in large) >= need
 
 
+def near_similarity(a: tuple[str, Counter], b: tuple[str, Counter], threshold: float) -> float | None:
+    """Edit similarity of two counted texts, or None below the threshold."""
+    if a[0] == b[0]:
+        return 1.0
+    if not may_be_near(a, b, threshold):
+        return None
+    sim = 1.0 - edit_distance(a[0], b[0]) / max(len(a[0]), len(b[0]))
+    return sim if sim >= threshold else None
+
+
 class RetainedBuffer:
     """The last ``size`` retained messages of one scope inside the time window."""
 
@@ -127,11 +150,8 @@ class RetainedBuffer:
                 return mid, 1.0
         mine = (text, self._counted(text))
         for _, mid, other, grams in self.items:
-            if not may_be_near(mine, (other, grams), self.threshold):
-                continue
-            w = max(len(other), len(text))
-            s = 1.0 - edit_distance(text, other) / w if w else 1.0
-            if s > best:
+            s = near_similarity(mine, (other, grams), self.threshold)
+            if s is not None and s > best:
                 best, best_id = s, mid
         return (best_id, best) if best >= self.threshold else None
 

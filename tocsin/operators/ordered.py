@@ -61,24 +61,27 @@ def running_totals(df: DataFrame, keys: list[str], ts: str, tie: list[str],
         *[(F.col(f"r._in_{o}") + F.col(f"s._p_{o}")).alias(o) for o in sums]])
 
 
-def with_history(df: DataFrame, scope: list[str], ts: str, tie: list[str], carry: list[str],
-                 rows: int, seconds: int, out: str = "history") -> DataFrame:
-    """Add array ``out``: the last ``rows`` rows of the scope not older than ``seconds``.
-
-    Rows are windowed inside (scope, bucket of ``seconds``). Each bucket also gets the last ``rows``
-    rows of the bucket before it; anything older is outside the time window. The array holds at
-    most ``rows`` entries, oldest first.
-    """
-    packed = F.struct(F.col(ts).alias("_ts"), *[F.col(c) for c in carry])
+def bucket_with_tail(df: DataFrame, scope: list[str], ts: str, tie: list[str], rows: int,
+                     seconds: int) -> DataFrame:
+    """Rows in buckets of ``seconds`` (_b), each with the last ``rows`` rows of the bucket before it
+    (_own false): all a row can see when it looks back at most ``rows`` rows and ``seconds``."""
     b = df.withColumn("_b", _bucket(F.col(ts), seconds)).withColumn("_own", F.lit(True))
-    order = [F.col(ts), *[F.col(t) for t in tie]]
-    newest = Window.partitionBy(*scope, "_b").orderBy(*[c.desc() for c in order])
+    newest = Window.partitionBy(*scope, "_b").orderBy(*[F.col(c).desc() for c in [ts, *tie]])
     tail = (
         b.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= rows).drop("_n")
         .withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
     )
+    return b.unionByName(tail)
+
+
+def with_history(df: DataFrame, scope: list[str], ts: str, tie: list[str], carry: list[str],
+                 rows: int, seconds: int, out: str = "history") -> DataFrame:
+    """Add array ``out``: the last ``rows`` rows of the scope not older than ``seconds``, oldest first."""
+    packed = F.struct(F.col(ts).alias("_ts"), *[F.col(c) for c in carry])
+    order = [F.col(c) for c in [ts, *tie]]
     w = Window.partitionBy(*scope, "_b").orderBy(*order).rowsBetween(-rows, -1)
-    both = b.unionByName(tail).withColumn("_rows", F.collect_list(packed).over(w)).where("_own")
+    both = bucket_with_tail(df, scope, ts, tie, rows, seconds).withColumn(
+        "_rows", F.collect_list(packed).over(w)).where("_own")
     oldest = F.unix_micros(F.col(ts)) - F.lit(seconds * 1_000_000)
     return both.withColumn(
         out, F.filter("_rows", lambda h: F.unix_micros(h["_ts"]) >= oldest)

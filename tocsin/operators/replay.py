@@ -15,7 +15,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tocsin.session import cut_lineage
+from tocsin.session import cut_lineage, ship_package
 
 
 class State(Protocol):
@@ -85,6 +85,7 @@ def replay(df: DataFrame, scope: str, ts: str, tie: str, chunk_s: int, warm_s: i
     ``new_state(None)`` is an empty state, ``new_state(dump)`` restores one; ``frame`` turns
     (row, outcome) pairs into a pandas frame of ``schema``. ``tie`` must be unique within a scope.
     """
+    ship_package()
     chunk = F.floor(F.unix_micros(ts) / F.lit(chunk_s * 1_000_000)).cast("long")
     own = df.withColumns({"scope_key": F.col(scope).cast("string"), "chunk_no": chunk, "part": F.lit(2),
                           "seed": F.lit(None).cast("string")})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,6 +29,14 @@ def build_session(app: str = "tocsin", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+def ship_package() -> None:
+    """Send this package's state machines to the Python workers by value.
+
+    They then run wherever the package is not installed, the stateful-streaming helper process included.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir``.
 

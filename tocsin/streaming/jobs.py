@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tocsin.functions.text import dedup_form, text_hash
 from tocsin.operators.dedup import RetainedBuffer
 from tocsin.operators.incidents import ASSIGNED, OpenIncidents, result_frame
-from tocsin.session import scratch_dir
+from tocsin.session import ROCKSDB, scratch_dir, ship_package
 from tocsin.settings import LIMITS, Limits
 
 
@@ -40,6 +40,12 @@ def hourly_counts(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes")
     return g.select(F.col("window.start").alias("hour"), "n")
 
 
+def _stateful(spark: SparkSession) -> None:
+    """Stateful Python operators need the package on the workers and the RocksDB state store."""
+    ship_package()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 class AssignProcessor(StatefulProcessor):
     """Incident assignment per scope: one map entry per open incident, dropped when it expires."""
 
@@ -87,6 +93,7 @@ class AssignProcessor(StatefulProcessor):
 
 def assign_stream(stream: DataFrame, limits: Limits = LIMITS, delay: str = "10 minutes") -> DataFrame:
     """Streaming counterpart of ``incidents.assign`` (SIGHTING columns plus clear_type)."""
+    _stateful(stream.sparkSession)
     return stream.withWatermark("ts", delay).groupBy("scope").transformWithStateInPandas(
         statefulProcessor=AssignProcessor(limits), outputStructType=ASSIGNED, outputMode="Append",
         timeMode="EventTime")
@@ -125,6 +132,7 @@ class DedupProcessor(StatefulProcessor):
 
 def retained_stream(stream: DataFrame, scope: str, text: str, ts: str, key: str, seconds: int = 120,
                     size: int = 50, threshold: float = 0.9) -> DataFrame:
+    _stateful(stream.sparkSession)
     s = stream.select(F.col(scope).alias("scope"), F.col(key).alias("message_id"), F.col(ts).alias("ts"),
                       dedup_form(F.col(text)).alias("body"))
     return s.withWatermark("ts", f"{seconds} seconds").groupBy("scope").transformWithStateInPandas(
