@@ -2,9 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tocsin.functions.text import normal_phrase
 from tocsin.operators import context as C, dedup as D, gazetteer as G, messages as M
 
 PLACES = [(0, "Бирюч", 50.25, 37.72), (1, "Валуйки", 50.21, 38.1), (2, "Валуйский район", 50.2, 38.0),

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tocsin import fixtures as X
 from tocsin.functions import rules as R, text as TX
-from tocsin.functions.geo import box_geojson, haversine_km
-from tocsin.functions.timeparts import local_hour
+from tocsin.functions.geo import box_geojson
 from tocsin.operators import (
     context as C, dedup as D, gazetteer as G, incidents as I, messages as M, paths as P, reports as RP,
     scan as SC, spatial as S,

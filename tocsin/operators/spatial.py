@@ -174,8 +174,8 @@ def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str,
 def _spread(places: DataFrame, km: float, deg: float) -> DataFrame:
     """Places copied to every cell that a point within ``km`` of them can lie in.
 
-    Latitudes beyond 85 degrees widen to all longitudes of the row of cells near by; the copies per
-    place depend on ``km`` only.
+    The copies per place depend on ``km`` only. Valid up to 85 degrees of latitude and away from the
+    180th meridian, which cells do not wrap around.
     """
     dlat = km / KM_PER_DEGREE * 1.02
     cos = F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + dlat, F.lit(85.0)))), F.lit(0.05))
