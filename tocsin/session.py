@@ -40,11 +40,15 @@ def ship_package() -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there. Only where it is unset (tests, local runs) is a
-    temporary folder used.
+    The cluster names a shared folder there. Only a session that runs in one process on one machine
+    (``local[...]``) may leave it unset; it then uses a temporary folder. Elsewhere that would put
+    each executor's part on its own disk, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tocsin-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
