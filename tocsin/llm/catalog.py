@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate
+from tocsin.llm import decontaminate, linededup, tokens
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op6_line_dedup": linededup.query,
+    "op7_sentencepiece": tokens.query,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
+    "op6_line_dedup": linededup.SQL,
 }
