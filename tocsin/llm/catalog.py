@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, linededup, tokens
+from tocsin.llm import decontaminate, linededup, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op3_secret_scan": secrets.query,
+    "op4_url_filter": urls.query,
     "op6_line_dedup": linededup.query,
     "op7_sentencepiece": tokens.query,
+    "op8_toxicity": toxicity.query,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
+    "op3_secret_scan": secrets.SQL,
     "op6_line_dedup": linededup.SQL,
 }
