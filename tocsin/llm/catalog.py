@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, linededup, secrets, tokens, toxicity, urls
+from tocsin.llm import decontaminate, imatch, linededup, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_line_dedup": linededup.query,
     "op7_sentencepiece": tokens.query,
     "op8_toxicity": toxicity.query,
+    "op9_imatch": imatch.query,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
