@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, imatch, linededup, secrets, tokens, toxicity, urls
+from tocsin.llm import decontaminate, imatch, linededup, neardup, secrets, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op3_secret_scan": secrets.query,
     "op4_url_filter": urls.query,
+    "op5_minhash": neardup.query,
     "op6_line_dedup": linededup.query,
     "op7_sentencepiece": tokens.query,
     "op8_toxicity": toxicity.query,
