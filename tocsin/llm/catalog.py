@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, imatch, linededup, neardup, secrets, tokens, toxicity, urls
+from tocsin.llm import decontaminate, imatch, linededup, neardup, secrets, substrings, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_sentencepiece": tokens.query,
     "op8_toxicity": toxicity.query,
     "op9_imatch": imatch.query,
+    "op10_suffix_dedup": substrings.query,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
