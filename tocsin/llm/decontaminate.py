@@ -140,7 +140,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, g
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = find_contamination(docs, benchmark, window, gram).filter(contaminated())
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    cond = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key"))
+    cond = docs["doc_id"].eqNullSafe(bad["_id"]) & (text_key(docs["text"]) == bad["_key"])
     return docs.join(bad, cond, "left_anti")
 
 

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,10 +59,10 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, n, h1, h2, sig, bands): size and 128-bit hash of the shingle set, 16-bit minima, band keys."""
     band = np.arange(BANDS, dtype=np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 s = shingle_set(t, size)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
@@ -72,11 +73,12 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     key = _mix(key * _M1 + part)
                 h1, h2 = _mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(s * _M1))
                 rows.append((len(s), int(h1.astype(np.int64)), int(h2.astype(np.int64)), least.astype("<u2").tobytes(), key.astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "h1", "h2", "sig", "bands"], index=b.index)
-            yield pd.concat([b[["doc_id", "key"]], out], axis=1)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *new], ["doc_id", "key", "n", "h1", "h2", "sig", "bands"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    return base.mapInPandas(run, "doc_id long, key long, n long, h1 long, h2 long, sig binary, bands array<long>")
+    return base.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 @lru_cache(maxsize=16)
@@ -235,13 +237,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, miss: float
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, miss: float = 1e-6) -> DataFrame:
-    """One document of each component: the row of the smallest doc_id, with its columns; of repeated rows, one."""
+    """One document of each component, that of the smallest doc_id: its rows, with their columns."""
     found = near_duplicates(docs, size, share, miss)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    twice = left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    again = left.join(twice, left["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, left["doc_id"] == F.col("_id"), "left_anti").unionByName(again)
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

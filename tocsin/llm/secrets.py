@@ -87,8 +87,9 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: di
     found = known.filter(F.size("findings") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("_f"))
     found = found.withColumnRenamed("blob", "_blob")
     refs = versions.withColumn("blob", blob_of(F.col("text"))).drop("text", "findings")
-    joined = refs.join(found, refs["blob"] == found["_blob"], "left").drop("_blob")
-    return joined.withColumn("findings", F.coalesce("_f", F.expr(f"cast(array() as {_FINDINGS})"))).drop("_f"), new
+    joined = refs.join(found, refs["blob"] == found["_blob"], "left")
+    findings = F.coalesce(found["_f"], F.expr(f"cast(array() as {_FINDINGS})")).alias("findings")
+    return joined.select(*[refs[c] for c in refs.columns], findings), new
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -212,29 +214,23 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
     tokens and decode to "". Rows stay as they are, repeated ones included. The model file must be readable
     on each executor at this path or be sent there with addFile. Nothing is shuffled.
     """
-    new = {"token_ids", "n_tokens", "decoded"}
-    base = docs.drop(*[c for c in docs.columns if c in new])
-    fields = [*base.schema.fields]
+    base = docs.drop("token_ids", "n_tokens", "decoded")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model_file)
         for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
             at = 0
-            sizes = b["text"].str.len().fillna(0).cumsum()
             while at < len(b):  # a few million characters at a time
-                done = sizes.iloc[at - 1] if at else 0
-                to = max(at + 1, int(sizes.searchsorted(done + 4_000_000, "right")))
-                part = b.iloc[at:to].copy()
-                got = [enc.encode(t) for t in part["text"]]
-                part["token_ids"] = [g[0] for g in got]
-                part["n_tokens"] = [g[1] for g in got]
-                part["decoded"] = [g[2] for g in got]
-                yield part
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+                part = b.slice(at, to - at)
+                got = [enc.encode(t) for t in part.column("text").to_pylist()]
+                new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "token_ids", "n_tokens", "decoded"])
                 at = to
 
     schema = base.limit(0).withColumns({"token_ids": F.lit(""), "n_tokens": F.lit(0).cast("long"), "decoded": F.lit("")}).schema
-    assert len(schema.fields) == len(fields) + 3
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def default_model() -> str:
