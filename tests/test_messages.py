@@ -1,9 +1,13 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from tocsin.operators import context as C, dedup as D, gazetteer as G, messages as M
+from tocsin.operators.replay import replay
 
 PLACES = [(0, "Бирюч", 50.25, 37.72), (1, "Валуйки", 50.21, 38.1), (2, "Валуйский район", 50.2, 38.0),
           (3, "Борки", 50.14, 37.88), (4, "Новые Борки", 50.1, 37.8), (5, "Яр", 50.0, 37.5)]
@@ -58,6 +62,10 @@ def test_sender_filters(spark):
     assert M.filter_senders(df).count() == 4
     terms = spark.createDataFrame([("горыныч",)], "t string")
     assert M.filter_senders(df, None, terms).count() == 3
+    nulls = df.unionByName(df.limit(1).withColumn("sender", F.lit(None).cast("string")))
+    assert M.filter_senders(nulls).count() == 5 and M.filter_senders(nulls, None, ["семья"]).where("sender is null").count() == 1
+    assert M.filter_senders(nulls, None, terms).where("sender is null").count() == 1
+    assert M.filter_senders(nulls, ["чистое небо"]).where("sender is null").count() == 0
 
 
 def slow_distance(a, b):
@@ -129,7 +137,7 @@ def test_near_pairs_equal_brute_force(spark):
     got = {(r.message_id, r.earlier_id) for r in D.near_pairs(df, "message_id", "text", ["scope"], "ts").collect()}
     want = set()
     for a, (sc, i, t, s) in enumerate(rows):
-        before = [r for r in rows[:a] if r[0] == sc][-50:]
+        before = [r for r in rows[:a] if r[0] == sc]
         for _, j, u, o in before:
             x, y = norm(s), norm(o)
             if (t - u).total_seconds() <= 120 and 1 - slow_distance(x, y) / max(len(x), len(y)) >= 0.9:
@@ -137,6 +145,42 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_near_pairs_see_all_of_the_window(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(0, i, at + dt.timedelta(seconds=i / 2), f"text number {i % 70} with words that differ {i % 70:03d}" * 2) for i in range(140)]
+    df = spark.createDataFrame(rows, "scope long, message_id long, ts timestamp, text string")
+    got = D.near_pairs(df, "message_id", "text", ["scope"], "ts")
+    equal = {(r.message_id, r.earlier_id) for r in got.where("similarity = 1").collect()}
+    assert equal == {(i, i - 70) for i in range(70, 140)}
+
+
+def test_replay_takes_null_scopes_and_times(spark):
+    rows, _ = noisy_stream(spark)
+    rows = [(None if sc == 0 else sc, i, t, s) for sc, i, t, s in rows] + [(None, 9001, None, "x"), (5, 9002, None, None), (5, 9003, rows[0][2], None)]
+    schema = "scope long, message_id long, ts timestamp, text string"
+    have = {r.message_id: r.duplicate_of for r in D.retained(spark.createDataFrame(rows, schema), "message_id", "text", "scope", "ts").collect()}
+    plain = [(0 if sc is None else sc, i, t, s) for sc, i, t, s in rows[:-3]]
+    want = {r.message_id: r.duplicate_of for r in D.retained(spark.createDataFrame(plain, schema), "message_id", "text", "scope", "ts").collect()}
+    assert have == {**want, 9001: None, 9002: None, 9003: None}
+
+
+def test_replay_that_repairs_nothing_stops(spark):
+    class Stubborn:  # a state that in tasks never looks like the empty one of the driver
+        def step(self, row):
+            return [{}]
+
+        def expire(self, now):
+            pass
+
+        def dump(self):
+            return "never" if TaskContext.get() else "empty"
+
+    df = spark.createDataFrame([(1, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=10 * i)) for i in range(6)], "scope long, id long, ts timestamp")
+    frame = lambda out: pd.DataFrame({"id": pd.array([r.id for r, _ in out], dtype="Int64")})
+    with pytest.raises(RuntimeError, match="repaired nothing"):
+        replay(df, "scope", "ts", "id", 10, 0, "id long", lambda dump: Stubborn(), frame, "stubborn")
+
+
 def message(i, chat, t, n, typ="FPV", reply=None, toks=()):
     place = [("p%d" % k, 50.0, 37.0) for k in range(n)]
     return (chat, i, reply, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), typ, "Drone", "Active", None,

@@ -447,7 +447,7 @@ add("near_dup_pairs", f"""WITH {NORMED}, fd AS MATERIALIZED (SELECT *, {FOLD} AS
   o AS MATERIALIZED (SELECT message_id, lang, ts, t, f, length(t) AS n, row_number() OVER (PARTITION BY lang ORDER BY ts, message_id) AS k,
     list_distinct(list_transform(range(1, length(f) - 3), lambda i: hash(substr(f, i, 5)))) AS g FROM fd),
   b AS MATERIALIZED (SELECT a.message_id, b.message_id AS earlier_id, greatest(a.n, b.n) AS w, a.t = b.t AS same, a.f AS af, b.f AS bf, a.g AS ag, b.g AS bg
-    FROM o a JOIN o b ON a.lang = b.lang AND b.k BETWEEN a.k - 50 AND a.k - 1 AND b.ts >= a.ts - INTERVAL 120 SECOND
+    FROM o a JOIN o b ON a.lang = b.lang AND b.k < a.k AND b.ts >= a.ts - INTERVAL 120 SECOND
     AND abs(a.n - b.n) <= 0.1 * greatest(a.n, b.n) + 1e-9),
   p AS MATERIALIZED (SELECT * FROM b WHERE same OR len(ag) - len(list_intersect(ag, bg)) <= 5 * floor(0.1 * w + 1e-9)),
   c AS (SELECT message_id, earlier_id, w, CASE WHEN same THEN 0 ELSE levenshtein(af, bf) END AS d FROM p)

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter, deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.functions.text import bigram_jaccard, dedup_form, text_hash
-from tocsin.operators.ordered import bucket_with_tail, previous_row, running_totals
+from tocsin.operators.ordered import previous_row, running_totals
 from tocsin.operators.replay import replay
-from tocsin.session import ship_package
 
 #: piece length of the filters ahead of edit distance
 GRAM = 5
@@ -26,37 +25,38 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def near_pairs(df: DataFrame, key: str, text: str, scope: list[str], ts: str,
-               seconds: int = 120, rows: int = 50, threshold: float = 0.9) -> DataFrame:
-    """(key, earlier_id, similarity) for messages alike to one of the last ``rows`` in ``seconds``.
-
-    The history is bounded per message, so no bucket is ever paired with itself. Each (scope, bucket) is
-    read in time order with the last ``rows`` messages at hand. Lengths decide first, then shared pieces;
-    what is left is measured by edit distance, on the whole texts.
+               seconds: int = 120, threshold: float = 0.9) -> DataFrame:
+    """(key, earlier_id, similarity) for messages alike to an earlier one of the last ``seconds``.
+
+    Every such pair is found, however many messages lie between. Candidates meet by an equi-join on scope, time
+    bucket and length class; a text is ``threshold`` times as long as the other at least, so only neighbouring
+    classes can hold a partner. Set lengths, the number of pieces that edits could have destroyed and
+    a bounded edit distance then decide, all inside the JVM. Rows without time or text have no partner; a null
+    scope is a scope of its own. Hot buckets are split by the adaptive skew join.
     """
-    ship_package()
-    m = df.select(F.concat_ws("\u0001", *scope).alias("scope"), F.col(key).cast("long").alias("id"),
-                  F.col(ts).alias("ts"), dedup_form(F.col(text)).alias("body"))
-    b = bucket_with_tail(m, ["scope"], "ts", ["id"], rows, seconds)
-    ordered = b.repartition("scope", "_b").sortWithinPartitions("scope", "_b", "ts", "id").select(
-        "scope", F.col("_b").alias("bucket"), "id", "ts", "body", F.col("_own").alias("own"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, deque(maxlen=rows)
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.scope, r.bucket) != current:
-                    current, recent = (r.scope, r.bucket), deque(maxlen=rows)
-                t, mine = r.ts.value / 1e9, (r.body, gram_counts(r.body))
-                if r.own:
-                    for u, other_id, other in recent:
-                        sim = near_similarity(mine, other, threshold) if t - u <= seconds else None
-                        if sim is not None:
-                            out.append((r.id, other_id, sim))
-                recent.append((t, r.id, mine))
-            yield pd.DataFrame(out, columns=[key, "earlier_id", "similarity"])
-
-    return ordered.mapInPandas(compare, f"{key} long, earlier_id long, similarity double")
+    m = df.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).select(
+        F.struct(*[F.col(c).cast("string") for c in scope]).alias("scope"), F.col(key).alias("id"), F.col(ts).alias("ts"),
+        dedup_form(F.col(text)).alias("body"))
+    chars = F.split("body", "")
+    grams = F.transform(F.sequence(F.lit(1), F.size("c") - GRAM + 1), lambda i: F.xxhash64(F.slice("c", i, F.lit(GRAM))))
+    m = m.withColumn("n", F.length("body")).withColumn("c", chars).withColumn(
+        "g", F.when(F.col("n") >= GRAM, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("c")
+    m = m.withColumn("b", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("long")).withColumn(
+        "k", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(threshold))).cast("int"))
+    late = m.select(F.struct("*").alias("x"), F.inline(F.expr(
+        "flatten(transform(array(-1, 0), i -> transform(array(-1, 0, 1), j -> struct(b + i as b, k + j as k))))")))
+    late = late.select("x", "b", "k", F.col("x.scope").alias("scope"))
+    early = m.select(F.struct("*").alias("y"), "b", "k", "scope")
+    j = late.join(early, ["scope", "b", "k"]).select("x", "y", F.greatest("x.n", "y.n").alias("w"))
+    apart = F.unix_micros("x.ts") - F.unix_micros("y.ts")
+    before = (F.col("y.ts") < F.col("x.ts")) | ((F.col("y.ts") == F.col("x.ts")) & (F.col("y.id") < F.col("x.id")))
+    j = j.where(before & (apart <= seconds * 1_000_000)).withColumn("edits", F.floor((1 - threshold) * F.col("w") + 1e-9).cast("int"))
+    j = j.where(F.abs(F.col("x.n") - F.col("y.n")) <= F.col("edits"))
+    lost = F.size("x.g") - F.size(F.array_intersect("x.g", "y.g"))
+    same = F.col("x.body") == F.col("y.body")
+    j = j.withColumn("d", F.when(same, 0).when(lost <= GRAM * F.col("edits"), F.expr("levenshtein(x.body, y.body, edits)")))
+    return j.where("d >= 0").select(F.col("x.id").alias(key), F.col("y.id").alias("earlier_id"),
+                                    F.when(F.col("w") == 0, 1.0).otherwise(1 - F.col("d") / F.col("w")).alias("similarity"))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -116,7 +116,7 @@ def near_similarity(a: tuple[str, Counter], b: tuple[str, Counter], threshold: f
 
 
 class RetainedBuffer:
-    """The last ``size`` retained messages of one scope inside the time window."""
+    """The last ``size`` retained messages of one scope inside the time window, with texts: for the stateful stream."""
 
     def __init__(self, seconds: float, size: int, threshold: float):
         self.seconds, self.size, self.threshold = seconds, size, threshold
@@ -132,16 +132,6 @@ class RetainedBuffer:
         while self.items and self.items[0][0] < now - self.seconds:
             self.items.popleft()
 
-    def dump(self) -> str:
-        return json.dumps([[t, int(mid), text] for t, mid, text, _ in self.items])
-
-    def step(self, row) -> list[dict]:
-        t = row.ts.value / 1e9
-        hit = self.find(t, row.body)
-        if hit is None:
-            self.keep(t, int(row.message_id), row.body)
-        return [{"of": hit[0] if hit else None, "similarity": hit[1] if hit else None}]
-
     def find(self, ts: float, text: str) -> tuple[object, float] | None:
         self.expire(ts)
         best, best_id = 0.0, None
@@ -171,21 +161,55 @@ def islands(df: DataFrame, keys: list[str], ts: str, tie: list[str], seconds: fl
     return running_totals(p, keys, ts, tie, {out: "_start"}).drop("_start")
 
 
+class RetainedIds:
+    """Ids of the last ``size`` retained messages of one scope inside the time window (None: all in the window)."""
+
+    def __init__(self, seconds: float, size: int | None):
+        self.seconds, self.size = seconds, size
+        self.items: deque = deque()
+
+    def expire(self, now: float) -> None:
+        while self.items and self.items[0][0] < now - self.seconds:
+            self.items.popleft()
+
+    def dump(self) -> str:
+        return json.dumps([[t, int(mid)] for t, mid in self.items])
+
+    def step(self, row) -> list[dict]:
+        t = row.ts.value / 1e9
+        self.expire(t)
+        near = dict(zip(row.near_ids, row.near_sims)) if row.near_ids is not None else {}
+        best, best_id = 0.0, None
+        for _, mid in self.items:  # the earliest of the most alike
+            if near.get(mid, 0.0) > best:
+                best, best_id = near[mid], mid
+        if best_id is None:
+            self.items.append((t, int(row.message_id)))
+            if self.size is not None and len(self.items) > self.size:
+                self.items.popleft()
+        return [{"of": best_id, "similarity": best if best_id is not None else None}]
+
+
 def retained(df: DataFrame, key: str, text: str, scope: str, ts: str, seconds: int = 120,
-             rows: int = 50, threshold: float = 0.9) -> DataFrame:
+             rows: int | None = 50, threshold: float = 0.9) -> DataFrame:
     """Greedy duplicate marking: a message is compared with retained messages only.
 
-    Adds duplicate_of and similarity (null when retained). Runs as a chunked replay: the state is the
-    buffer, which the time window and its size bound.
+    Adds duplicate_of and similarity (null when retained). Alike pairs come from ``near_pairs``; the chunked replay
+    then only walks ids. ``rows`` is the product's buffer of retained messages and forgets the older ones of
+    a busy scope; None looks at all of the time window. A message without time or text is retained; a null
+    scope is a scope of its own. Ids must be whole numbers and unique.
     """
-    m = df.select(F.col(scope).alias("scope"), F.col(key).cast("long").alias("message_id"),
-                  F.col(ts).alias("ts"), dedup_form(F.col(text)).alias("body"))
-
-    def new_state(dump: str | None) -> RetainedBuffer:
-        buf = RetainedBuffer(seconds, rows, threshold)
-        for t, mid, body in json.loads(dump) if dump else []:
-            buf.keep(t, mid, body)
-        return buf
+    pairs = near_pairs(df, key, text, [scope], ts, seconds, threshold).groupBy(F.col(key).cast("long").alias("message_id")).agg(
+        F.collect_list(F.col("earlier_id").cast("long")).alias("near_ids"), F.collect_list("similarity").alias("near_sims"))
+    m = df.select(F.col(scope).alias("scope"), F.col(key).cast("long").alias("message_id"), F.col(ts).alias("ts"))
+    plain = df.where(F.col(ts).isNull() | F.col(text).isNull()).select(
+        F.col(key).cast("long").alias("message_id"), F.lit(None).cast("long").alias("duplicate_of"), F.lit(None).cast("double").alias("similarity"))
+    m = m.join(plain.select("message_id"), "message_id", "left_anti").join(pairs, "message_id", "left")
+
+    def new_state(dump: str | None) -> RetainedIds:
+        ids = RetainedIds(seconds, rows)
+        ids.items.extend((t, mid) for t, mid in (json.loads(dump) if dump else []))
+        return ids
 
     def frame(out: list) -> pd.DataFrame:
         return pd.DataFrame({
@@ -195,7 +219,7 @@ def retained(df: DataFrame, key: str, text: str, scope: str, ts: str, seconds: i
 
     marked = replay(m, "scope", "ts", "message_id", seconds * 20, seconds * 5,
                     "message_id long, duplicate_of long, similarity double", new_state, frame, "retained")
-    return marked.withColumnRenamed("message_id", key)
+    return marked.unionByName(plain).withColumnRenamed("message_id", key)
 
 
 def neighbour_jaccard(df: DataFrame, keys: list[str], ts: str, tie: list[str], key: str,

@@ -8,27 +8,28 @@ from tocsin.functions import rules as R
 from tocsin.operators.sizing import checked_broadcast
 
 
-def _term_frame(df: DataFrame, terms) -> DataFrame:
-    """Terms as a one-column table; a DataFrame of terms passes through."""
-    if isinstance(terms, DataFrame):
-        return terms.select(F.lower(F.col(terms.columns[0])).alias("_term"))
-    return df.sparkSession.createDataFrame([(t.lower(),) for t in terms], "_term string")
-
-
 def filter_senders(df: DataFrame, allowed=None, blocked=None, sender: str = "sender") -> DataFrame:
     """Keep senders containing an allowed term (empty list: all), then drop those with a blocked one.
 
-    ``allowed`` / ``blocked`` are lists or one-column tables. Substring tests run once per distinct
-    sender; the messages then meet the surviving senders by an equi-join.
+    ``allowed`` / ``blocked`` are lists or one-column tables. Lists become one condition on the row, without a
+    shuffle. Tables are tested once per distinct sender, which then meets the messages by an equi-join. A null
+    sender contains no term: it is kept unless there are allowed terms.
     """
-    key = F.lower(F.col(sender))
-    names = df.select(key.alias("_s")).distinct()
-    hit = F.col("_s").contains(F.col("_term"))
-    for terms, how in ((allowed, "left_semi"), (blocked, "left_anti")):
-        if terms is None or (isinstance(terms, list) and not terms):
+    key = F.lower(F.coalesce(F.col(sender), F.lit("")))
+    for terms, keep in ((allowed, True), (blocked, False)):
+        if terms is None or (isinstance(terms, (list, tuple)) and not terms):
+            continue
+        if isinstance(terms, DataFrame):
+            names = df.select(key.alias("_s")).distinct()
+            found = checked_broadcast(terms.select(F.lower(F.col(terms.columns[0])).alias("_term")).where("_term is not null"))
+            names = names.join(found, F.col("_s").contains(F.col("_term")), "left_semi")
+            df = df.withColumn("_s", key).join(names, "_s", "left_semi" if keep else "left_anti").drop("_s")
             continue
-        names = names.join(checked_broadcast(_term_frame(df, terms)), hit, how)
-    return df.withColumn("_s", key).join(names, "_s", "left_semi").drop("_s")
+        hit = F.lit(False)
+        for t in terms:
+            hit = hit | key.contains(t.lower())
+        df = df.where(hit if keep else ~hit)
+    return df
 
 
 def filter_channels(df: DataFrame, channels: list[str], sender: str = "sender") -> DataFrame:

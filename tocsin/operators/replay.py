@@ -83,12 +83,15 @@ def replay(df: DataFrame, scope: str, ts: str, tie: str, chunk_s: int, warm_s: i
     """Rows of ``schema`` produced by running the state over each scope in (ts, tie) order.
 
     ``new_state(None)`` is an empty state, ``new_state(dump)`` restores one; ``frame`` turns
-    (row, outcome) pairs into a pandas frame of ``schema``. ``tie`` must be unique within a scope.
+    (row, outcome) pairs into a pandas frame of ``schema``. ``tie`` must be unique within a scope. A null
+    scope is a scope of its own; rows without a time have no place in the order and are left out. Repaired
+    chunks are appended, the last run of a chunk counts.
     """
     ship_package()
     chunk = F.floor(F.unix_micros(ts) / F.lit(chunk_s * 1_000_000)).cast("long")
-    own = df.withColumns({"scope_key": F.col(scope).cast("string"), "chunk_no": chunk, "part": F.lit(2),
-                          "seed": F.lit(None).cast("string")})
+    scope_key = F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit("null"))
+    own = df.where(F.col(ts).isNotNull()).withColumns({
+        "scope_key": scope_key, "chunk_no": chunk, "part": F.lit(2), "seed": F.lit(None).cast("string")})
     own = cut_lineage(own, f"{label}-rows")
     until = (F.col("chunk_no") + 1) * (chunk_s * 1_000_000) - F.unix_micros(ts)
     warm = own.where(until <= warm_s * 1_000_000).withColumn("chunk_no", F.col("chunk_no") + 1).withColumn(
@@ -99,24 +102,34 @@ def replay(df: DataFrame, scope: str, ts: str, tie: str, chunk_s: int, warm_s: i
     def execute(rows: DataFrame, step: int) -> DataFrame:
         ordered = rows.repartition("scope_key", "chunk_no").sortWithinPartitions(
             "scope_key", "chunk_no", (F.col("part") > 0), ts, tie)
-        return cut_lineage(ordered.mapInPandas(run, full), f"{label}-{step}")
+        return cut_lineage(ordered.mapInPandas(run, full).withColumn("round", F.lit(step)), f"{label}-{step}")
 
     empty = new_state(None).dump()
     key = ["scope_key", "chunk_no"]
-    result, step = execute(own.unionByName(warm), 0), 0
+    rounds = [execute(own.unionByName(warm), 0)]
+    states = rounds[0].where("start_state IS NOT NULL").select(*key, "round", "start_state", "end_state")
+    last = None
     while True:
-        states = result.where("start_state IS NOT NULL").select(*key, "start_state", "end_state")
         before = states.select("scope_key", (F.col("chunk_no") + 1).alias("chunk_no"),
                                F.col("end_state").alias("seed"))
         wrong = states.join(before, key, "left").withColumn("seed", F.coalesce("seed", F.lit(empty))).where(
             F.col("seed") != F.col("start_state")).select(*key, "seed")
-        step += 1
+        step = len(rounds)
         wrong = cut_lineage(wrong, f"{label}-wrong-{step}")
         if wrong.isEmpty():
             break
+        if last is not None and wrong.join(last, [*key, "seed"], "left_anti").isEmpty():
+            raise RuntimeError(f"{label}: a round repaired nothing")
+        last = wrong
         seeds = wrong.withColumn("part", F.lit(0))
         again = own.join(wrong.select(*key), key, "left_semi").unionByName(seeds, allowMissingColumns=True)
-        redone = execute(again, step)
-        result = cut_lineage(result.join(wrong.select(*key), key, "left_anti").unionByName(redone),
-                             f"{label}-merged-{step}")
-    return result.where("start_state IS NULL").drop(*key, "start_state", "end_state")
+        rounds.append(execute(again, step))
+        redone = rounds[-1].where("start_state IS NOT NULL").select(*states.columns)
+        states = cut_lineage(states.join(redone.select(*key), key, "left_anti").unionByName(redone), f"{label}-states-{step}")
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    out = every.where("start_state IS NULL")
+    if len(rounds) > 1:  # of a chunk that ran again, the last run counts
+        out = out.join(states.select(*key, "round"), [*key, "round"], "left_semi")
+    return out.drop(*key, "round", "start_state", "end_state")
