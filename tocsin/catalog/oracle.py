@@ -302,6 +302,7 @@ GW = f"(({RADIUS.format(h='(dm + ds)')}) / 111 / 2)"
 add("graph_forecast", f"""{GRAPH_ALL} SELECT incident_id, type, places,
   round((epoch_us(last_seen) + round(greatest(dm - ds, 0.25e0) * 60 * 6e7)) / 1e6)::BIGINT AS start_s,
   round((epoch_us(last_seen) + round((dm + ds) * 60 * 6e7)) / 1e6)::BIGINT AS end_s, round(conf, 6) AS confidence, {BOX.format(w=GW)} FROM graphf""")
+add("graph_forecast_default", ORACLE["graph_forecast"].replace("FROM edges QUALIFY", "FROM edges WHERE n >= 3 QUALIFY"))
 TRAJ_F = f""", {TRACK},
 tj0 AS (SELECT t.*, i.last_seen, least(speed * 1.5e0, 50e0) AS km FROM track t JOIN inc i USING (incident_id) WHERE i.n_points >= 2 AND i.{OPEN} AND speed >= 0.1),
 tj1 AS (SELECT *, asin(sin(radians(lat)) * cos(km / 6371e0) + cos(radians(lat)) * sin(km / 6371e0) * cos(radians(bearing))) AS p2 FROM tj0),
@@ -359,7 +360,10 @@ add("report_week", f"""WITH {POINTS}{INC}, wi AS (SELECT * FROM inc WHERE first_
   SELECT 'types' AS section, type AS item, count(*) AS n FROM wi GROUP BY 2
   UNION ALL SELECT 'hours', hour::VARCHAR, n FROM ({HOURS.format(t='first_seen', o=3, s='wi', k=3)})
   UNION ALL SELECT 'places', place, n FROM ({TOP_PLACES.format(s='wp')})
-  UNION ALL SELECT 'endpoints', place, n FROM ({TOP_PLACES.format(s='ends')})""")
+  UNION ALL SELECT 'endpoints', place, n FROM ({TOP_PLACES.format(s='ends')})
+  UNION ALL SELECT 'steps', item, n FROM (SELECT pplace || '>' || place AS item, count(*) AS n FROM (SELECT place, lag(place) OVER (PARTITION BY incident_id ORDER BY ts, event_id) AS pplace FROM wp)
+    WHERE pplace IS NOT NULL GROUP BY pplace, place ORDER BY n DESC, pplace, place LIMIT 5)
+  UNION ALL SELECT 'summary', 'terminated', count(*) FILTER (status = 'Terminated') FROM wi""")
 add("active_incidents", f"WITH {POINTS}{INC} SELECT incident_id, status FROM inc WHERE {OPEN}")
 add("expired_incidents", f"""WITH {POINTS}{INC} SELECT type, CASE WHEN {OPEN} AND date_diff('microsecond', last_seen, TIMESTAMP '2024-01-30 22:00:00') > {life('type', 120)} * 60000000::BIGINT
   THEN 'Expired' ELSE status END AS status, count(*) AS n FROM inc GROUP BY 1, 2""")
@@ -430,7 +434,13 @@ add("payload_text", f"""WITH p AS (SELECT doc_id, {PAY} AS s FROM documents), c
   k AS (SELECT doc_id, s, b, unnest(range(0, 121)) AS i FROM c), m AS (SELECT doc_id, s, b, max(i) FILTER (strlen(substr(s, 1, i)) <= 120) AS i FROM k GROUP BY 1, 2, 3),
   o AS (SELECT doc_id, CASE WHEN b <= 120 THEN s ELSE substr(s, 1, i) || '...' END AS o FROM m)
   SELECT doc_id AS message_id, strlen(o) AS n_bytes, md5(o) AS digest FROM o""")
-add("abbreviations", r"""SELECT doc_id AS message_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\bthe\b', 'THE-LONG', 'gi'), '\bder\b', 'DER-LANG', 'gi')) AS digest FROM documents""")
+# RE2 knows ASCII word borders only: a word is matched with its neighbours, twice, as two words may share one
+EDGE, MARKED = r"[^\p{L}\p{M}\p{N}\p{Pc}]", "text"
+for short, long, mark in (("the", "THE-LONG", "chr(1)"), ("der", "DER-LANG", "chr(2)")):
+    for _ in range(2):
+        MARKED = rf"regexp_replace({MARKED}, '(^|{EDGE}){short}($|{EDGE})', '\1' || {mark} || '\2', 'gi')"
+    MARKED = f"replace({MARKED}, {mark}, '{long}')"
+add("abbreviations", f"SELECT doc_id AS message_id, md5({MARKED}) AS digest FROM documents")
 
 # --- duplicates ----------------------------------------------------------------------------------------------------------------
 NORM = (rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
@@ -539,9 +549,9 @@ add("auto_close", f"""WITH {POINTS}{INC}, fp AS (SELECT incident_id, arg_min(pla
 
 # --- archives and payloads ---------------------------------------------------------------------------------------------------------
 ARCH = """arc AS (SELECT (conv_id * 1000 + turn)::VARCHAR AS message_id, CASE WHEN turn % 4 = 0 THEN role ELSE 'chat ' || conv_id END AS sender,
-  CASE WHEN turn % 3 = 0 THEN 'turn ' || turn ELSE 'turn ' || role END AS text,
+  CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'turn ' || text ELSE role || ' ' || text END AS text,
   CASE WHEN turn % 2 = 0 OR turn % 5 <> 4 THEN TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 45) END AS at_time,
-  CASE WHEN turn > 0 THEN (conv_id * 1000 + turn - 1)::VARCHAR END AS reply_to FROM conversations WHERE turn % 3 <> 2)"""
+  CASE WHEN turn > 0 THEN (conv_id * 1000 + turn - 1)::VARCHAR END AS reply_to FROM conversations WHERE turn % 11 <> 10)"""
 add("archive_flatten", f"WITH {ARCH} SELECT message_id, sender, text, epoch_us(at_time) AS received_us, reply_to, at_time IS NULL AS rejected FROM arc")
 add("archive_quality", f"WITH {ARCH} SELECT count(*) AS total, count(at_time) AS kept, count(*) - count(at_time) AS no_date, epoch_us(min(at_time)) AS first_us, epoch_us(max(at_time)) AS last_us FROM arc")
 add("archive_hours", f"WITH {ARCH}, k AS (SELECT * FROM arc WHERE at_time IS NOT NULL) " + HOURS.format(t="at_time", o=0, s="k", k=5))

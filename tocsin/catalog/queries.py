@@ -271,6 +271,12 @@ def graph_forecast(spark, d):
     return _to_seconds(_forecast_out(FC.graph(_inputs(spark, d))))
 
 
+@query
+def graph_forecast_default(spark, d):
+    """With the product's least number of transitions."""
+    return _to_seconds(_forecast_out(FC.graph(_inputs(spark, d, min_count=LIMITS.edge_min_count))))
+
+
 @query
 def trajectory_forecast(spark, d):
     return _to_seconds(_forecast_out(FC.trajectory(_inputs(spark, d))))
@@ -367,7 +373,9 @@ def report_week(spark, d):
     parts = {"types": r["types"].select(F.col("type").alias("item"), "n"),
              "hours": r["hours"].select(F.col("hour").cast("string").alias("item"), "n"),
              "places": r["places"].select(F.col("place").alias("item"), "n"),
-             "endpoints": r["endpoints"].select(F.col("place").alias("item"), "n")}
+             "endpoints": r["endpoints"].select(F.col("place").alias("item"), "n"),
+             "steps": r["steps"].select(F.concat_ws(">", "from_place", "to_place").alias("item"), "n"),
+             "summary": r["summary"].select(F.lit("terminated").alias("item"), F.col("n_terminated").alias("n"))}
     out = None
     for name, t in parts.items():
         t = t.select(F.lit(name).alias("section"), "item", "n")
@@ -539,7 +547,7 @@ def payload_text(spark, d):
 @query
 def abbreviations(spark, d):
     table = {"the": "THE-LONG", "der": "DER-LANG"}
-    c = TX.expand_abbreviations(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), table)
+    c = TX.expand_abbreviations(F.col("text"), table)
     return X.documents(spark, d).select("message_id", F.md5(c).alias("digest"))
 
 
@@ -730,13 +738,16 @@ def auto_close(spark, d):
 # --- archives and payloads -----------------------------------------------------------------------------------------------------------------
 
 def _archive(spark, d) -> DataFrame:
-    """Conversations as archive documents: texts as strings or as arrays of strings and objects."""
+    """Conversations as archive documents: their texts as strings, arrays of strings and objects, or arrays of
+    objects; every eleventh turn is blank."""
     c = X.table(spark, d, "conversations")
     t = F.col("turn")
-    parts = F.array(F.to_json(F.struct(F.col("role").alias("text"))))
-    as_text = F.when(t % 3 == 0, F.concat(F.lit('"'), F.lit("turn "), t.cast("string"), F.lit('"'))) \
-        .when(t % 3 == 1, F.concat(F.lit('["turn",'), F.element_at(parts, 1), F.lit(',{"type":"x"}]'))) \
-        .otherwise(F.lit('""'))
+    listed = F.to_json(F.array("text"))  # ["..."]
+    as_object = lambda c: F.to_json(F.struct(F.col(c).alias("text")))
+    as_text = F.when(t % 11 == 10, F.lit('" "')) \
+        .when(t % 3 == 0, F.substring(listed, F.lit(2), F.length(listed) - 2)) \
+        .when(t % 3 == 1, F.concat(F.lit('["turn",'), as_object("text"), F.lit(',{"type":"x"}]'))) \
+        .otherwise(F.concat(F.lit("["), as_object("role"), F.lit(","), as_object("text"), F.lit("]")))
     secs = F.unix_seconds(F.lit(X.BASE).cast("timestamp")) + F.col("conv_id") * 3600 + t * 45
     iso = F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss")
     msg = F.struct(
