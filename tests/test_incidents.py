@@ -76,6 +76,14 @@ def test_incident_table_confidence_and_expiry(spark):
     assert r["FPV"].has_recon and r["Rocket"].status == "Expired"
 
 
+def test_table_and_assignment_agree_on_expiry(spark):
+    df = spark.createDataFrame([msg(1, 0), msg(2, 20), msg(3, 40)], SCHEMA)  # the same place each time: one point
+    a = I.assign(df)
+    assert {r.message_id: r.action for r in a.collect()}[3] == "new"
+    t = {r.first_seen.minute: r.status for r in I.incident_table(a, "2024-01-01 00:45:00").collect()}
+    assert t == {0: "Expired", 40: "Active"}
+
+
 def random_rows(n=400, seed=4):
     rnd = random.Random(seed)
     spots = [(f"s{i}", 50 + rnd.random() * 0.6, 37 + rnd.random() * 0.8) for i in range(15)]

@@ -206,7 +206,11 @@ def incident_id():
 
 
 def incident_table(assigned: DataFrame, as_of=None, limits: Limits = LIMITS) -> DataFrame:
-    """Incidents from assignments; with ``as_of`` those idle past their lifetime become Expired."""
+    """Incidents from assignments; with ``as_of`` those idle past their lifetime become Expired.
+
+    An incident is last seen at its latest point, as in the assignment itself: a message that repeats
+    a known place adds no point and does not keep the incident open.
+    """
     a = assigned.where("root IS NOT NULL").withColumn("incident_id", incident_id())
     order = F.struct("ts", "message_id")
     sight = F.col("action").isin("new", "same", "far")
@@ -214,7 +218,7 @@ def incident_table(assigned: DataFrame, as_of=None, limits: Limits = LIMITS) ->
         F.min_by(F.when(sight, F.col("type")), order).alias("type"),
         F.min_by(F.when(sight, F.col("category")), order).alias("category"),
         F.min(F.when(sight, F.col("ts"))).alias("first_seen"),
-        F.max(F.when(sight, F.col("ts"))).alias("last_seen"),
+        F.max(F.when(sight & (F.size("added") > 0), F.col("ts"))).alias("last_seen"),
         F.max_by("status", order).alias("status"), F.max_by("confidence", order).alias("confidence"),
         F.max("recon").alias("has_recon"),
         F.max(F.when(F.col("recon"), F.col("ts"))).alias("recon_time"),
@@ -238,7 +242,7 @@ def incident_points(assigned: DataFrame) -> DataFrame:
                    F.posexplode("added").alias("pos", "p")).select(
         "incident_id", "type", "ts", F.col("message_id").alias("event_id"), "pos",
         F.col("p.name").alias("place"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
-    # removals are counted, so a place added again later keeps its point
+    # a removal names the time of its point, so a place added again later keeps its own
     gone = a.where("removed_name IS NOT NULL").select(
         "incident_id", F.col("removed_name").alias("place"), F.col("removed_ts").alias("ts"))
     return pts.join(gone, ["incident_id", "place", "ts"], "left_anti")
