@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,6 +22,9 @@ TOXIC_BYTES, ORDINARY_BYTES = 8_192, 112_000
 #: Code units of a window and of the step to the next one.
 WINDOW, STEP = 64, 48
 GRAM = 5
+#: A letter gram or a whole word counts as toxic if this share of the toxic texts has it (3 texts at least), so many
+#: times the share of the ordinary ones.
+ODD_DOCS, ODD_RATIO = 0.005, 55.0
 THRESHOLD = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -85,8 +88,15 @@ def features(text: str, ordinary, both) -> list[float]:
     return [top[-1], top.mean(), (d >= 4).mean(), (d >= 8).mean(), d.mean(), math.log(len(d))]
 
 
+def _spots(word: str) -> Iterator[tuple[int, int]]:
+    """Places of the grams of a word that has a blank on both sides: inside the word, and the whole."""
+    for i in range(1, len(word) - GRAM):
+        yield i, i + GRAM
+    yield 0, len(word)
+
+
 def _grams(text: str) -> set[str]:
-    return {w[i:i + GRAM] for w in _LETTERS.findall(text) for i in range(len(w) - GRAM + 1)}
+    return {w[i:j] for w in {f" {x} " for x in _LETTERS.findall(text)} for i, j in _spots(w)}
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -97,37 +107,45 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(toxic: list[str], ordinary: list[str], weight: tuple[float, float] = (1.0, 1.0)) -> Model | None:
-    """Train on texts of both classes, halves of each: dictionaries on the first, calibration on the second.
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Trained dictionaries (ordinary, toxic) of lower-case texts.
 
     A toxic text is mostly ordinary prose, so its dictionary is trained on the stretches of its words whose letter
-    grams are far more frequent there. ``weight``: rows of each class (toxic, ordinary) that one sample row stands for.
-    None if a class has fewer than two texts.
+    grams are far more frequent there than in ordinary texts.
     """
-    if min(len(toxic), len(ordinary)) < 2:
-        return None
-    toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
-    dict_t, cal_t, dict_o, cal_o = toxic[::2], toxic[1::2], ordinary[::2], ordinary[1::2]
     seen_t, seen_o = Counter(), Counter()
-    for t in dict_t:
+    for t in toxic:
         seen_t.update(_grams(t))
-    for t in dict_o:
+    for t in ordinary:
         seen_o.update(_grams(t))
-    ratio = (len(dict_o) + 1) / (len(dict_t) + 1)
-    odd = {g for g, n in seen_t.items() if n >= min(4, len(dict_t)) and (n + 0.5) / (seen_o[g] + 0.5) * ratio >= math.exp(4)}
+    ratio = (len(ordinary) + 1) / (len(toxic) + 1)
+    least = max(3, ODD_DOCS * len(toxic))
+    odd = {g for g, n in seen_t.items() if n >= least and (n + 0.5) / (seen_o[g] + 0.5) * ratio >= ODD_RATIO}
     stretches = []
-    for t in dict_t:
+    for t in toxic:
         for w in _LETTERS.findall(t):
-            hit = [j for j in range(len(w) - GRAM + 1) if w[j:j + GRAM] in odd]
+            w = f" {w} "
+            hit = [(i, j) for i, j in _spots(w) if w[i:j] in odd]
             if hit:
-                stretches.append(coded(f" {w} "[hit[0]:hit[-1] + GRAM + 2]))
-    plain = [w for t in dict_o for w in windows(t)]
-    model = Model(_dictionary(plain[::max(1, len(plain) // 80_000)], ORDINARY_BYTES), _dictionary(stretches, TOXIC_BYTES) if stretches else b"",
-                  np.zeros(7), np.zeros(6), np.ones(6))
+                stretches.append(coded(w[max(0, min(hit)[0] - 1):max(j for _, j in hit) + 1]))
+    plain = [w for t in ordinary for w in windows(t)]
+    return _dictionary(plain[::max(1, len(plain) // 80_000)], ORDINARY_BYTES), _dictionary(stretches, TOXIC_BYTES) if stretches else b""
+
+
+def fit(toxic: list[str], ordinary: list[str], weight: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """Train on texts of both classes, dictionaries on the first half of each, calibration on the second.
+
+    None if a class has fewer than two texts. ``weight``: rows of each class (toxic, ordinary) that one sample row
+    stands for. Both steps use the same dictionaries, so that the calibration holds for them.
+    """
+    if min(len(toxic), len(ordinary)) < 2:
+        return None
+    toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
+    model = Model(*dictionaries(toxic[::2], ordinary[::2]), np.zeros(7), np.zeros(6), np.ones(6))
     a, b = model.compressors()
-    x = np.array([features(t, a, b) for t in cal_t + cal_o])
-    y = np.repeat([1.0, 0.0], [len(cal_t), len(cal_o)])
-    r = np.repeat(weight, [len(cal_t), len(cal_o)])
+    x = np.array([features(t, a, b) for t in toxic[1::2] + ordinary[1::2]])
+    y = np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])])
+    r = np.where(y == 1, *weight)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     ridge = 0.1 * np.eye(z.shape[1])
@@ -146,44 +164,45 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Of each class the rows of least hash of doc_id are taken, TOXIC_ROWS and ORDINARY_ROWS at most, with texts
-    of 1 to TRAIN_CHARS characters. The class shares come from all labelled rows.
+    Of each class the ids of least hash are drawn from the labels, TOXIC_ROWS and ORDINARY_ROWS at most, and sent to
+    the scan of the texts; texts of 1 to TRAIN_CHARS characters are used, one for each id (the least). The
+    class shares come from all labelled rows.
     """
-    known = docs.select("doc_id", "text").join(
-        labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), "doc_id")
-    total = {r["toxic"]: r["n"] for r in labels.filter(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    usable = known.filter(F.length("text").between(1, TRAIN_CHARS)).withColumn("h", F.xxhash64("doc_id", "text"))
-    texts = []
-    for label, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        got = usable.filter(F.col("toxic") == label).orderBy("h", "text").limit(rows).select("text").toPandas()["text"]
-        texts.append(got.tolist())
+    known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    drawn = [known.filter(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
+    usable = docs.select("doc_id", "text").filter(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    got = usable.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
+    got = got.sort_values(["doc_id", "toxic"]).sample(frac=1, random_state=7)
+    texts = [got["text"][got["toxic"] == k].tolist() for k in (1, 0)]
     weight = tuple(total.get(k, 0) / max(1, len(t)) for k, t in zip((1, 0), texts))
     return fit(*texts, weight)
 
 
-def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) from the text alone, replacing a column of that name.
+def score_texts(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) from the text alone, replacing one of that name.
 
     Null counts as empty; equal texts get equal scores; without a model every score is 0. No shuffle.
     """
-    base = docs.drop("score")
+    base = docs.drop(name)
     if model is None:
-        return base.withColumn("score", F.lit(0.0))
-    schema = base.limit(0).withColumn("score", F.lit(0.0)).schema
+        return base.withColumn(name, F.lit(0.0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = model.compressors()
-        for part in batches:
-            x = np.array([features(t or "", a, b) for t in part["text"].astype(object).where(part["text"].notna(), "")]).reshape(len(part), 6)
-            yield part.assign(score=model.score(x))
+        for batch in batches:
+            x = np.array([features(t or "", a, b) for t in batch.column("text").to_pylist()]).reshape(len(batch), 6)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, name])
 
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, base.limit(0).withColumn(name, F.lit(0.0)).schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with their columns."""
-    scored = score_texts(docs.withColumn("_doc", F.struct(*docs.columns)).select("_doc", "text"), train(docs, labels))
-    return scored.filter(F.col("score") < threshold).select("_doc.*")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score_texts(docs, train(docs, labels), name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
