@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tocsin.llm.common import SPACE, lower_ascii, slices, table, text_key
+from tocsin.llm.common import SPACE, lower_ascii, settle, slices, table, text_key
 
 _RUN = ("h1 long, h2 long, part int, docs long, first_doc long, first_key long, first_pos int, "
         "last_doc long, last_key long")
@@ -124,8 +124,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     occurrence (by doc_id, text key and position) stays. ``bitmap`` holds one keep flag a line, zlib-compressed.
     Keys of fewer than ``min_chars`` code points never go. Null text is one empty line.
     """
-    lines = line_rows(docs.select("doc_id", "text"), min_chars)
-    common = line_occurrences(lines).filter(F.col("n_docs") >= min_docs)
+    lines = settle(line_rows(docs.select("doc_id", "text"), min_chars), "lines")
+    common = settle(line_occurrences(lines).filter(F.col("n_docs") >= min_docs), "common")
     hit = lines.join(common, ["h1", "h2"])
     if keep_first:
         first = F.col("first")
@@ -145,10 +145,10 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     bits = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("bitmap").alias("_bits"),
         F.col("n_dropped").alias("_n"))
-    cond = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key"))
-    j = docs.join(bits, cond, "left")
-    cols = [c for c in docs.columns if c not in ("text", "n_dropped")]
-    return j.select(*cols, _kept("text", "_bits").alias("text"), F.coalesce("_n", F.lit(0)).alias("n_dropped"))
+    cond = docs["doc_id"].eqNullSafe(bits["_id"]) & (text_key(docs["text"]) == bits["_key"])
+    cols = [docs[c] for c in docs.columns if c not in ("text", "n_dropped")]
+    return docs.join(bits, cond, "left").select(
+        *cols, _kept(docs["text"], bits["_bits"]).alias("text"), F.coalesce(bits["_n"], F.lit(0)).alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
