@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tocsin.llm.common import table, text_key, words_of
+from tocsin.llm.common import settle, table, text_key, words_of
 
 #: Idf band kept (natural logarithm of documents over documents with the term).
 IDF_BAND = (1.5, 12.0)
@@ -143,7 +143,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = IDF_BAND)
     rows = with_next(docs)
     rows = rows.withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next_text")))).drop("next_text")
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
-    prints = fingerprint_texts(rows, "row", ["text", "edited"], lexicon(docs, band))
+    prints = fingerprint_texts(rows, "row", ["text", "edited"], settle(lexicon(docs, band), "lexicon"))
     order = W.partitionBy(F.shiftright("row", 32)).orderBy("row")
     return prints.withColumn("next_print", F.lead("text_print").over(order)).filter(~F.col("guest")).drop("row", "guest")
 
