@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tocsin.llm.common import table
 
 MARK = "▁"
-#: Chunks whose encoding a worker remembers; the memory is emptied when it is full.
-MEMO = 250_000
+#: Words, chunks and pairs whose encoding a task remembers; a memory is emptied when it is full and when the task ends.
+MEMO = 100_000
 
 
 class Encoder:
@@ -89,6 +89,8 @@ class Encoder:
         known = self.fits.get((a, b))
         if known is None:
             p, q = self.pieces[a], self.pieces[b]
+            if len(self.fits) >= 4 * MEMO:
+                self.fits.clear()
             known = self.fits[a, b] = self._merge(p + q) == [p, q]
         return known
 
@@ -218,6 +220,13 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model_file)
+        try:
+            yield from encoded(enc, batches)
+        finally:  # the worker may live on for other stages
+            enc.words.clear()
+            enc.pieces_of_chunk.clear()
+
+    def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
             at = 0
