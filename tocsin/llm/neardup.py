@@ -17,8 +17,8 @@ from tocsin.llm.graph import components
 
 #: Hash functions, bands and rows of a band. A pair of similarity 0.85 shares no band in 2 of 10 million cases.
 HASHES, BANDS, ROWS, BATCH = 192, 26, 5, 32
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 128
+#: Members of a block of a bucket; two blocks are compared with each other in one group.
+BLOCK = 512
 #: Candidate documents up to which their ids are sent to every task (about 50 bytes each).
 BROADCAST_IDS = 300_000
 _R = np.random.default_rng(20)
@@ -151,12 +151,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFr
     return j.mapInPandas(run, "a long, b long").distinct()
 
 
-def open_pairs(members: DataFrame, comps: DataFrame, known: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """Surviving pairs (a, b) of one bucket and different components.
+def open_links(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, miss: float,
+               size: int, share: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, enough to join all that are linked.
 
-    Only buckets of two components or more are opened. Their members are dealt into blocks of about BLOCK, and
-    each pair of blocks is compared in one group of bounded size, signatures by batches; nothing but survivors
-    comes out.
+    Only buckets of two components or more are opened. Their members are dealt into blocks of about BLOCK, and each
+    pair of blocks is compared in one group of bounded size: signatures by batches in the first bucket that a
+    pair shares, survivors confirmed on whole sets unless a link already joins their components. At most one
+    link a member comes out.
     """
     m = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("s")).filter("c0 <> c1")
@@ -164,10 +166,10 @@ def open_pairs(members: DataFrame, comps: DataFrame, known: DataFrame, similarit
     m = m.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     seq = F.sequence(F.lit(0), F.col("blocks") - 1)
     m = m.withColumn("other", F.explode(seq)).select("key", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    m = m.join(known, "id")
+    m = m.join(known.join(texts, "id"), "id").repartition(4 * int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
+        i, j, key = g["i"].iloc[0], g["j"].iloc[0], g["key"].iloc[0]
         left = np.flatnonzero((g["block"] == i).to_numpy())
         right = np.flatnonzero((g["block"] == j).to_numpy())
         x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
@@ -176,10 +178,33 @@ def open_pairs(members: DataFrame, comps: DataFrame, known: DataFrame, similarit
         if i == j:
             ok &= x < y
         x, y = x[ok], y[ok]
-        s = _signatures(g["sig"])
-        live = _survive_at(s, x, y, similarity, miss)
-        a, b = ids[x[live]], ids[y[live]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        live = _survive_at(_signatures(g["sig"]), x, y, similarity, miss)
+        x, y = x[live], y[live]
+        if len(x):
+            bands = np.stack([np.asarray(v) for v in g["bands"]])
+            same = np.concatenate([(bands[x[k:k + 65_536]] == bands[y[k:k + 65_536]]).argmax(axis=1) for k in range(0, len(x), 65_536)])
+            first = bands[x, same] == key
+            x, y = x[first], y[first]
+        top = {c: c for c in set(comp.tolist())}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        sets = lru_cache(maxsize=2 * BLOCK)(lambda k: shingle_set(g["text"].iloc[k], size))
+        out = []
+        for k, e in zip(x.tolist(), y.tolist()):
+            a, b = find(comp[k]), find(comp[e])
+            if a == b:
+                continue
+            u, v = sets(k), sets(e)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if both and 100 * both >= share * (len(u) + len(v) - both):
+                top[max(a, b)] = min(a, b)
+                out.append((min(ids[k], ids[e]), max(ids[k], ids[e])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return m.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -215,19 +240,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, miss: float
                      .select("h1", "h2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key")), "classes")
     reps = full.select("doc_id", "key", "bands").join(classes.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("far")).filter("pivot <> far")
-    members = settle(buckets.join(pivots.select("key", "pivot"), "key"), "members")
+    pivots = settle(buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("far")).filter("pivot <> far").select("key", "pivot"), "pivots")
+    members = settle(buckets.join(pivots, "key"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     wanted = settle(classes.join(ids, "doc_id", "left_semi").select("doc_id", "key"), "wanted")
-    known = settle(_only(full.select("doc_id", "key", "n", "sig"), wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-                   .select(F.col("doc_id").alias("id"), "n", "sig"), "known")
+    known = settle(_only(full.select("doc_id", "key", "n", "sig", "bands"), wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+                   .select(F.col("doc_id").alias("id"), "n", "sig", "bands"), "known")
     texts = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "key": text_key(F.col("text"))})
     texts = settle(_only(texts, wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "text"), "texts")
     star = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = settle(confirm(prune(star, known, similarity, miss), texts, size, share), "links")
     comps = components(links)
-    more = open_pairs(members.select("key", "id"), settle(comps, "comps"), known, similarity, miss).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(settle(confirm(more, texts, size, share), "links"))
+    more = open_links(members.select("key", "id"), settle(comps, "comps"), known, texts, similarity, miss, size, share)
+    links = links.unionByName(settle(more, "links"))
     comps = components(links)
     named = classes.join(comps, classes["doc_id"] == comps["id"], "left")
     named = named.select("h1", "h2", "n", F.coalesce("component", "doc_id").alias("component_id"))
