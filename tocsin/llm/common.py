@@ -45,6 +45,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send texts to Python in batches of ``rows`` at most: a batch is held several times, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def slices(df: DataFrame, rows_each: int = 4_000) -> int:
     """A number of hash slices that grows with the table: no slice gets unboundedly many rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

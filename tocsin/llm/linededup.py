@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tocsin.llm.common import SPACE, lower_ascii, settle, slices, table, text_key
+from tocsin.llm.common import SPACE, lower_ascii, settle, slices, small_batches, table, text_key
 
 _RUN = ("h1 long, h2 long, part int, docs long, first_doc long, first_key long, first_pos int, "
         "last_doc long, last_key long")
@@ -142,6 +142,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     All rows and columns stay. Repeated rows get the same result each; a text that loses no line is unchanged
     (null stays null); a text that loses all lines is empty.
     """
+    small_batches(docs.sparkSession)
     bits = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("bitmap").alias("_bits"),
         F.col("n_dropped").alias("_n"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tocsin.llm.common import settle, table, text_key
+from tocsin.llm.common import settle, small_batches, table, text_key
 from tocsin.llm.graph import components
 
 #: Hash functions, bands and rows of a band. A pair of similarity 0.85 shares no band in 2 of 10 million cases.
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, miss: float
     with the bucket's least id, never all pairs. 3. Candidates are pruned by batches, survivors confirmed on whole
     sets, and components made. 4. Buckets that still hold several components are opened, in blocks.
     """
+    small_batches(docs.sparkSession)
     similarity = share / 100
     docs = docs.select("doc_id", "text")
     sk = settle(sketch(docs, size), "sketch")

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tocsin.llm.common import table
+from tocsin.llm.common import small_batches, table
 
 MARK = "▁"
 #: Words, chunks and pairs whose encoding a task remembers; a memory is emptied when it is full and when the task ends.
@@ -217,6 +217,7 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
     on each executor at this path or be sent there with addFile. Nothing is shuffled.
     """
     base = docs.drop("token_ids", "n_tokens", "decoded")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model_file)

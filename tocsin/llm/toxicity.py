@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tocsin.llm.common import table
+from tocsin.llm.common import small_batches, table
 
 #: Training sample: rows of each class at most, and the longest text taken.
 TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1_500, 3_000, 20_000
@@ -185,6 +185,7 @@ def score_texts(docs: DataFrame, model: Model | None, name: str = "score") -> Da
     Null counts as empty; equal texts get equal scores; without a model every score is 0. No shuffle.
     """
     base = docs.drop(name)
+    small_batches(docs.sparkSession)
     if model is None:
         return base.withColumn(name, F.lit(0.0))
 
