@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tocsin.llm import decontaminate, imatch, linededup, neardup, secrets, substrings, tokens, toxicity, urls
+from tocsin.llm import decontaminate, imatch, linededup, neardup, pii, secrets, substrings, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op2_pii_pseudonyms": pii.query,
     "op3_secret_scan": secrets.query,
     "op4_url_filter": urls.query,
     "op5_minhash": neardup.query,
