@@ -82,3 +82,18 @@ def test_odd_rows(spark, docs_of):
     assert len(out) == len(ODD_ROWS) and all(r["text_print"] and r["next_print"] for r in out)
     assert M.fingerprint_documents(docs_of([])).collect() == []
     assert rows_of(M.fingerprint_documents(docs_of([(1, "abcdef")]))) == wanted([(1, "abcdef")])
+
+
+def test_subsets_cover_the_lexicon(spark):
+    """Over all terms each subset has its own share, and two of them meet as often as independent ones do."""
+    n = 60_000
+    s = spark.range(n).select(F.xxhash64("id").alias("x")).select(
+        "x", F.transform(M._signatures(F.array("x")), lambda x: x.isNotNull()).alias("s"), M._in_any(F.col("x")).alias("any"))
+    got = s.collect()
+    assert all(r["any"] == any(r["s"]) for r in got) and abs(sum(r["any"] for r in got) / n - 0.27) < 0.01
+    keys = M._subset_keys()
+    for a in range(len(keys)):
+        assert abs(sum(r["s"][a] for r in got) - n / 2 ** keys[a][0]) < 6 * (n / 2 ** keys[a][0]) ** 0.5
+    both = sum(r["s"][0] and r["s"][1] for r in got)
+    assert abs(both - n / 1024) < 6 * (n / 1024) ** 0.5
+    assert all(sum(r["any"] for r in got if r["x"] % 16 == k) > 0.2 * n / 16 for k in range(16))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -10,29 +12,49 @@ from tocsin.llm.common import settle, table, text_key, words_of
 
 #: Idf band kept (natural logarithm of documents over documents with the term).
 IDF_BAND = (1.5, 12.0)
-#: (bits, subsets): so many subsets that hold one term in 2**bits each. Short texts show in the dense ones, long
-#: texts in the sparse ones. Terms in no subset at all (15 of 16 here) are dropped before any shuffle.
+#: (bits, subsets): so many subsets that hold one term in 2**bits each, drawn independently. Short texts show in the
+#: dense ones, long texts in the sparse ones. Terms in no subset at all (73 % here) are dropped before any shuffle.
 SUBSETS = ((5, 6), (6, 6), (8, 6), (10, 6))
-DENSE = 4
-
-
-def _terms(text: Column) -> Column:
-    """Hashes of the distinct terms that can be in a subset: those whose low DENSE bits are zero."""
-    h = F.filter(F.transform(words_of(text), lambda w: F.xxhash64(w)), lambda x: x.bitwiseAND(2**DENSE - 1) == 0)
-    return F.array_distinct(h)
 
 
 def _subset_keys() -> list[tuple[int, int]]:
     return [(bits, k) for bits, n in SUBSETS for k in range(n)]
 
 
+def _fields() -> list[tuple[int, int, int]]:
+    """(number of a hash, first bit, bits) of each subset: it holds a term whose bits there are zero. No two overlap."""
+    out, number, at = [], 0, 0
+    for bits, _ in _subset_keys():
+        if at + bits > 63:
+            number, at = number + 1, 0
+        out.append((number, at, bits))
+        at += bits
+    return out
+
+
+def _in_any(term: Column) -> Column:
+    """Whether any subset holds the term. Taking one from every field borrows into the top bit of a zero one."""
+    tests = []
+    for number in sorted({f[0] for f in _fields()}):
+        mine = [(at, bits) for k, at, bits in _fields() if k == number]
+        low, high = sum(2**at for at, _ in mine), sum(2 ** (at + bits - 1) for at, bits in mine)
+        v = F.xxhash64(F.lit(number), term).bitwiseAND(F.lit(sum((2**bits - 1) * 2**at for at, bits in mine)))
+        tests.append((v - F.lit(low)).bitwiseAND(F.bitwise_not(v)).bitwiseAND(F.lit(high)) != 0)
+    return reduce(Column.__or__, tests)
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct terms that are in any subset."""
+    return F.filter(F.array_distinct(F.transform(words_of(text), lambda w: F.xxhash64(w))), _in_any)
+
+
 def _signatures(terms: Column) -> Column:
     """A hash for each subset, of its terms in order; null for one that has none of them."""
-    def one(bits: int, k: int) -> Column:
-        own = F.filter(terms, lambda x: F.xxhash64(F.lit(bits * 100 + k), x).bitwiseAND(2 ** (bits - DENSE) - 1) == 0)
+    def one(number: int, at: int, bits: int) -> Column:
+        own = F.filter(terms, lambda x: F.xxhash64(F.lit(number), x).bitwiseAND(F.lit((2**bits - 1) * 2**at)) == 0)
         return F.when(F.size(own) > 0, F.xxhash64(own))
 
-    return F.array(*[one(b, k) for b, k in _subset_keys()])
+    return F.array(*[one(*f) for f in _fields()])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -48,42 +70,52 @@ def as_text(a: Column) -> Column:
     return F.concat_ws(",", F.transform(a, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit("-"))))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(term): term hashes within the idf band, counted over all rows of ``docs``, of those that can be in a subset."""
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): rows of ``docs`` with each term that is in any subset."""
+    return docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, df: DataFrame | None = None) -> DataFrame:
+    """(term): term hashes within the idf band, counted over all rows of ``docs``, of those that are in any subset."""
     n = docs.count()
-    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = _frequencies(docs) if df is None else df
     return df.filter((F.col("df") <= n / math.exp(band[0])) & (F.col("df") >= n / math.exp(band[1]))).select("term")
 
 
-def fingerprint_texts(rows: DataFrame, key: str, sides: list[str], lex: DataFrame) -> DataFrame:
+def fingerprint_texts(rows: DataFrame, key: str, sides: list[str], lex: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """``rows`` without the text columns ``sides``, and a fingerprint column <side>_print for each.
 
-    ``key`` must be unique. The distinct terms of every side travel with the number of the side, are joined to the
+    ``key`` must be unique. The distinct terms of a row travel once, with the set of their sides, are joined to the
     lexicon and gathered by key. A fingerprint is the array of signatures; a text without any lexicon term
     has one hash of the text instead, so that equal texts have equal fingerprints and others differ. Null counts
-    as empty.
+    as empty. ``common`` are terms outside the lexicon, few enough for every task, that need not travel.
     """
     rest = [c for c in rows.columns if c not in sides and c != key]
     r = rows.select(key, F.struct(*rest, *[text_key(F.col(s)).alias(f"_all{i}") for i, s in enumerate(sides)]).alias("info"),
                     *[_terms(F.col(s)).alias(f"_t{i}") for i, s in enumerate(sides)])
-    terms = F.concat(*[F.transform(f"_t{i}", _on_side(i, r.schema["info"].dataType)) for i in range(len(sides))])
-    own = F.array(F.struct(F.xxhash64(F.lit("row"), F.col(key)).alias("term"), F.lit(-1).alias("side"), F.col("info").alias("info")))
+    info, every = r.schema["info"].dataType, range(len(sides))
+    on = [(s, reduce(F.array_except, [F.col(f"_t{i}") for i in every if i not in s], reduce(F.array_intersect, [F.col(f"_t{i}") for i in s])))
+          for n in every for s in combinations(every, n + 1)]
+    terms = F.concat(*[F.transform(t, _on_sides(sum(2**i for i in s), info)) for s, t in on])
+    own = F.array(F.struct(F.xxhash64(F.lit("row"), F.col(key)).alias("term"), F.lit(0).alias("on"), F.col("info").alias("info")))
     each = r.select(key, F.inline(F.concat(own, terms)))
-    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter("side < 0 or known")
+    if common is not None:
+        each = each.join(F.broadcast(common.withColumn("common", F.lit(True))), "term", "left").filter("on = 0 or common is null").drop("common")
+    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter("on = 0 or known")
     g = known.groupBy(key).agg(F.first("info", ignorenulls=True).alias("info"),
-                               F.sort_array(F.collect_list(F.when(F.col("side") >= 0, F.struct("term", "side")))).alias("t"))
-    g = g.select(key, "info", *[F.transform(F.filter("t", _of_side(i)), lambda x: x["term"]).alias(f"_s{i}") for i in range(len(sides))])
+                               F.sort_array(F.collect_list(F.when(F.col("on") > 0, F.struct("term", "on")))).alias("t"))
+    g = g.select(key, "info", *[F.transform(F.filter("t", _of_side(i)), lambda x: x["term"]).alias(f"_s{i}") for i in every])
     return g.select(key, *[g["info"][c].alias(c) for c in rest], *[
         F.when(F.size(f"_s{i}") == 0, F.array(F.col("info")[f"_all{i}"])).otherwise(_signatures(F.col(f"_s{i}"))).alias(f"{s}_print")
         for i, s in enumerate(sides)])
 
 
-def _on_side(i: int, info: T.DataType):
-    return lambda h: F.struct(h.alias("term"), F.lit(i).alias("side"), F.lit(None).cast(info).alias("info"))
+def _on_sides(bits: int, info: T.DataType):
+    return lambda h: F.struct(h.alias("term"), F.lit(bits).alias("on"), F.lit(None).cast(info).alias("info"))
 
 
 def _of_side(i: int):
-    return lambda x: x["side"] == i
+    return lambda x: x["on"].bitwiseAND(2**i) > 0
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -143,7 +175,10 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = IDF_BAND)
     rows = with_next(docs)
     rows = rows.withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next_text")))).drop("next_text")
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
-    prints = fingerprint_texts(rows, "row", ["text", "edited"], settle(lexicon(docs, band), "lexicon"))
+    df = settle(_frequencies(docs), "frequencies")
+    # a text has few of them: at most exp(band[0]) times the terms of a mean text
+    common = df.filter(F.col("df") > docs.count() / math.exp(band[0])).select("term")
+    prints = fingerprint_texts(rows, "row", ["text", "edited"], settle(lexicon(docs, band, df), "lexicon"), common)
     order = W.partitionBy(F.shiftright("row", 32)).orderBy("row")
     return prints.withColumn("next_print", F.lead("text_print").over(order)).filter(~F.col("guest")).drop("row", "guest")
 
