@@ -59,3 +59,18 @@ def test_linking_to_blocked_hosts_blocks(spark):
 
 def test_empty(spark):
     assert U.judge_urls(pages_of(spark, []), U.RULES).collect() == []
+
+
+def test_popular_blocked_host_at_the_default_threshold(spark):
+    bad, good = '<a href="//bad.net/x">', "".join(f'<a href="//good{k}.com/">' for k in range(19))
+    rows = [(k, f"http://friend{k}.com/p", bad) for k in range(300)] + [(400, "http://bad.net/a", ""), (401, "http://mostly.com/", bad + good), (402, "http://second.com/", '<a href="//friend7.com/">')]
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(pages_of(spark, rows), U.RULES).collect()}
+    assert {got[k] for k in range(300)} == {"block"} and got[400] == "block" and got[401] == "allow" and got[402] == "block"
+
+
+def test_rounds_to_a_tolerance(spark):
+    seeds = spark.createDataFrame([("bad", 0.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "bad", 1), ("a", "b", 9), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r["host"]: r["distrust"] for r in U.host_scores(seeds, edges, rounds=200, by_linker=True, tolerance=1e-4).collect()}
+    a = 0.85 * 0.1 * 0.15 / (1 - 0.85 * 0.85 * 0.9)
+    assert got == pytest.approx({"bad": 0.15, "a": a, "b": 0.85 * a}, abs=1e-4)

@@ -38,14 +38,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12,
+                by_linker: bool = False, tolerance: float | None = None) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of seed weights, native.
 
     ``seeds`` has (host, trust, distrust) weights of 0 to 1. Trust follows links; distrust goes against them, from a
     blocked host to those that link to it. A host's score is (1 - damping) * seed + damping * what its
     neighbours pass on, each in proportion to its links; a host without links passes nothing on. Scores are not
-    normalised over all hosts, so that a threshold means the same at every size. Each round is one join and
-    one sum over aggregated edges, written to the shared folder every fourth round.
+    normalised over all hosts, so that a threshold means the same at every size. Distrust is split over all that
+    link to a host; with ``by_linker`` a host instead takes the mean distrust of what it links to, by its own links, which
+    does not depend on how many others link there. Each round is one join and one sum over aggregated edges,
+    written to the shared folder every fourth round; with a ``tolerance`` the rounds also end when no score grew by
+    as much since the last time it was written.
     """
     seeds = settle(seeds.select("host", F.inline(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("w")),
@@ -55,15 +59,22 @@ def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, round
     state = base
     if not edges.isEmpty():
         out = edges.groupBy(F.col("src").alias("k")).agg(F.sum("n").alias("all"))
-        into = edges.groupBy(F.col("dst").alias("k")).agg(F.sum("n").alias("all"))
+        end = "src" if by_linker else "dst"
+        split = edges.groupBy(F.col(end).alias("k")).agg(F.sum("n").alias("all"))
         ways = settle(
             edges.join(out, edges["src"] == out["k"]).select(F.col("src").alias("host"), F.lit("trust").alias("kind"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
-            .unionByName(edges.join(into, edges["dst"] == into["k"]).select(F.col("dst").alias("host"), F.lit("distrust").alias("kind"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share"))), "ways")
+            .unionByName(edges.join(split, edges[end] == split["k"]).select(F.col("dst").alias("host"), F.lit("distrust").alias("kind"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share"))), "ways")
+        last = base
         for k in range(rounds):
             passed = ways.join(state, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("x") * F.col("share")).alias("x"))
             state = base.unionByName(passed).groupBy("host", "kind").agg(F.sum("x").alias("x"))
             if k % 4 == 3:
                 state = settle(state, "scores")
+                if tolerance is not None:
+                    grown = state.join(last.withColumnRenamed("x", "old"), ["host", "kind"], "left")
+                    if grown.filter(F.col("x") - F.coalesce("old", F.lit(0.0)) >= tolerance).isEmpty():
+                        break
+                    last = state
     one = [F.sum(F.when(F.col("kind") == k, F.col("x")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return state.groupBy("host").agg(*one)
 
@@ -72,7 +83,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: flo
     """(page_id, host, path, rule, verdict, trust, distrust), one row for each row of ``pages``.
 
     The longest fitting rule decides. Where none fits, the host's scores do: block if distrust is at least
-    ``threshold`` and more than trust, else allow. Seeds are hosts by their share of pages that a rule allows or
+    ``threshold`` and more than trust, else allow. Distrust is taken by the linker's own links, to the last 1e-4. Seeds are hosts by their share of pages that a rule allows or
     blocks. Null or malformed urls have an empty host and path, fit no rule and are allowed. Only page_id, url
     and html are read; null html has no links.
     """
@@ -80,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: flo
     p = p.withColumn("r", first_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = p.filter(F.col("host") != "").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = host_scores(seeds, host_edges(pages.select("url", "html")), damping)
+    scores = host_scores(seeds, host_edges(pages.select("url", "html")), damping, 200, by_linker=True, tolerance=1e-4)
     scores = scores.select(F.col("host").alias("_host"), "trust", "distrust")
     j = p.join(scores, p["host"] == scores["_host"], "left").fillna(0.0, ["trust", "distrust"])
     spread = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
