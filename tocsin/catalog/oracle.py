@@ -453,16 +453,17 @@ NORMED = rf"nd AS (SELECT doc_id AS message_id, lang, TIMESTAMP '2024-01-01' + t
 add("exact_dups", f"WITH {NORMED} SELECT upper(md5(t)) AS hash, min(message_id) AS first_id, count(*) AS copies FROM nd GROUP BY 1 HAVING count(*) > 1")
 # levenshtein() counts bytes: letters outside ASCII are first mapped to unused single-byte ones
 FOLD = "translate(t, 'áàâäãåéèêëíìîïóòôöõúùûüñçßœæ¿¡«»“”‘’–—…€°', 'ABCDFGHJKLNOPQRSUVWXYZ' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24))"
-add("near_dup_pairs", f"""WITH {NORMED}, fd AS MATERIALIZED (SELECT *, {FOLD} AS f FROM nd),
+NEAR = f"""fd AS MATERIALIZED (SELECT *, {FOLD} AS f FROM nd),
   o AS MATERIALIZED (SELECT message_id, lang, ts, t, f, length(t) AS n, row_number() OVER (PARTITION BY lang ORDER BY ts, message_id) AS k,
     list_distinct(list_transform(range(1, length(f) - 3), lambda i: hash(substr(f, i, 5)))) AS g FROM fd),
   b AS MATERIALIZED (SELECT a.message_id, b.message_id AS earlier_id, greatest(a.n, b.n) AS w, a.t = b.t AS same, a.f AS af, b.f AS bf, a.g AS ag, b.g AS bg
     FROM o a JOIN o b ON a.lang = b.lang AND b.k < a.k AND b.ts >= a.ts - INTERVAL 120 SECOND
     AND abs(a.n - b.n) <= 0.1 * greatest(a.n, b.n) + 1e-9),
   p AS MATERIALIZED (SELECT * FROM b WHERE same OR len(ag) - len(list_intersect(ag, bg)) <= 5 * floor(0.1 * w + 1e-9)),
-  c AS (SELECT message_id, earlier_id, w, CASE WHEN same THEN 0 ELSE levenshtein(af, bf) END AS d FROM p)
-  SELECT message_id, earlier_id, round(CASE WHEN w = 0 THEN 1e0 ELSE 1e0 - d / w::DOUBLE END, 6) AS similarity FROM c
-  WHERE CASE WHEN w = 0 THEN 1e0 ELSE 1e0 - d / w::DOUBLE END >= 0.9""")
+  c AS (SELECT message_id, earlier_id, w, CASE WHEN same THEN 0 ELSE levenshtein(af, bf) END AS d FROM p),
+  near AS (SELECT message_id, earlier_id, CASE WHEN w = 0 THEN 1e0 ELSE 1e0 - d / w::DOUBLE END AS similarity FROM c
+    WHERE CASE WHEN w = 0 THEN 1e0 ELSE 1e0 - d / w::DOUBLE END >= 0.9)"""
+add("near_dup_pairs", f"WITH {NORMED}, {NEAR} SELECT message_id, earlier_id, round(similarity, 6) AS similarity FROM near")
 CHATS = f"""chats AS (SELECT conv_id AS chat, conv_id * 1000 + turn AS message_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS reply_to, text,
   TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 45) AS ts, {TYPE.format('conv_id + turn')} AS type,
   CASE WHEN role = 'user' THEN 1 + turn % 2 ELSE 0 END AS n_places, {TOK.format(n=3, stop='')} AS tokens FROM conversations)"""

@@ -20,7 +20,7 @@ from tocsin.plans import forecasts as FC
 from tocsin.session import cut_lineage, scratch_dir
 from tocsin.settings import LIMITS
 from tocsin.sources import archive as A, tables as TB
-from tocsin.streaming import jobs as J
+from tocsin.streaming import jobs as J, live as LV
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -688,7 +688,8 @@ def incident_assign(spark, d):
 @query
 def incident_table(spark, d):
     t = I.incident_table(I.assign(X.sightings(spark, d)), "2024-01-31 00:00:00")
-    return t.groupBy("type", "status").agg(F.count("*").alias("n"), F.sum("n_messages").alias("n_messages"))
+    return t.select("scope", "root", "type", "category", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), "status",
+                    r6("confidence").alias("confidence"), "has_recon", us("recon_time").alias("recon_us"), "n_messages")
 
 
 @query
@@ -726,6 +727,15 @@ def all_clear_latest(spark, d):
     return I.closed_latest(i, _clears(spark, d).select("scope", "clear_ts", "clear_id"))
 
 
+@query
+def all_clear_place(spark, d):
+    """All-clears that name a place; each closes the oldest incident that is open then and was seen there."""
+    pts = X.points(spark, d)
+    i = M.active(_scoped(spark, d)).select("incident_id", "scope", "type", "first_seen", "last_seen")
+    c = _clears(spark, d).join(pts.select(F.col("event_id").alias("clear_id"), "place"), "clear_id")
+    return I.closed_oldest(i, pts.select("incident_id", "place", "ts"), c.select("scope", "clear_ts", "clear_id", "place"))
+
+
 @query
 def auto_close(spark, d):
     pts = X.points(spark, d)
@@ -824,12 +834,68 @@ def stream_first_texts(spark, d):
         "lang").agg(F.count("*").alias("n"), F.countDistinct("hash").alias("n_hashes"))
 
 
+def _slices(df, ts: str, folder: str, parts: list) -> str:
+    """Write the rows of each condition as files of their own, one condition after the other: a feed in that order."""
+    for p in parts:
+        df.where(p).write.mode("append").parquet(folder)
+    return folder
+
+
+def _assigned_stream(spark, d) -> DataFrame:
+    s = cut_lineage(X.sightings(spark, d), "sightings")
+    mid = F.lit(dt.datetime(2024, 1, 15))
+    feed = _slices(s, "ts", scratch_dir(spark, "feed"), [F.col("ts") < mid, F.col("ts") >= mid])
+    return J.run_available(J.assign_stream(J.message_stream(spark, feed, s.schema)), "assigned")
+
+
 @query
 def stream_assign(spark, d):
-    """Sightings fed as a stream through the stateful assignment; counts per action."""
-    s = X.sightings(spark, d)
-    src = scratch_dir(spark, "sightings")
-    s.repartitionByRange(4, "ts").write.parquet(src)
-    stream = J.message_stream(spark, src, s.schema)
-    a = J.run_available(J.assign_stream(stream), "assigned")
-    return a.groupBy("action").agg(F.count("*").alias("n"))
+    """Sightings fed as a stream through the stateful assignment."""
+    a = _assigned_stream(spark, d).where("action <> 'expired'")
+    return a.select("scope", "message_id", "root", "action", "status", r6("confidence").alias("confidence"))
+
+
+@query
+def stream_expired(spark, d):
+    """Incidents that ran out while the stream went on, with the time."""
+    a = _assigned_stream(spark, d).where("action = 'expired'")
+    return a.select("scope", "root", "type", us("ts").alias("expired_us"), r6("confidence").alias("confidence"))
+
+
+WEEK = 604_800
+
+
+def _live(spark, d) -> str:
+    """Run the live flow over a feed of weekly slices in which every 37th message comes a slice late."""
+    s = X.sightings(spark, d).withColumn("_w", LV.period(F.col("ts"), WEEK))
+    s = cut_lineage(s, "feed-rows")
+    low, high = s.agg(F.min("_w"), F.max("_w")).first()
+    weeks = range(low or 0, (high or 0) + 1, WEEK)
+    slice_ = F.col("_w") + F.when((F.col("message_id") % 37 == 0) & (F.col("_w") < high), WEEK).otherwise(0)
+    plain = s.withColumn("_s", slice_).drop("_w")
+    feed, root = scratch_dir(spark, "feed"), scratch_dir(spark, "live")
+    for w in weeks:
+        plain.where(F.col("_s") == w).drop("_s").coalesce(1).write.mode("append").parquet(feed)
+    LV.run_live(spark, feed, s.drop("_w").schema, root, every_s=WEEK, maxFilesPerTrigger=1)
+    return root
+
+
+@query
+def live_late(spark, d):
+    root = _live(spark, d)
+    flag = lambda name, late: LV.read(spark, root, name).select("scope", "message_id", F.lit(late).alias("late"))
+    return flag("main", False).unionByName(flag("late", True))
+
+
+@query
+def live_rerun(spark, d):
+    """Main and late rows assigned again: as if all had come in time."""
+    a = LV.rerun(spark, _live(spark, d))
+    return a.select("scope", "message_id", "root", "action", "status", r6("confidence").alias("confidence"))
+
+
+@query
+def live_alerts(spark, d):
+    a = LV.read(spark, _live(spark, d), "alerts")
+    return a.select("scope", "message_id", "root", "version", "place", csv("next_places").alias("next_places"),
+                    r6("confidence").alias("confidence"), "payload")

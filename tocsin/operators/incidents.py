@@ -17,6 +17,7 @@ from tocsin.functions.geo import haversine_km
 from tocsin.operators.ordered import first_after, previous_row, running_totals
 from tocsin.operators.profiles import expiry, lifetime, max_distance, max_speed
 from tocsin.operators.replay import replay
+from tocsin.session import cut_lineage
 from tocsin.settings import LIMITS, Limits
 
 PLACES = "array<struct<name:string,lat:double,lon:double>>"
@@ -44,6 +45,7 @@ class OpenIncidents:
     def __init__(self, limits: Limits = LIMITS, dump: str | None = None):
         self.limits = limits
         self.items: dict[int, dict] = {i["root"]: i for i in json.loads(dump)} if dump else {}
+        self.gone: list[dict] = []  # what the last message found expired
 
     def dump(self) -> str:
         return json.dumps([self.items[k] for k in sorted(self.items)], ensure_ascii=False)
@@ -51,6 +53,10 @@ class OpenIncidents:
     def step(self, row) -> list[dict]:
         return self.process(message_dict(row)) or [{"action": "none"}]
 
+    def due(self, inc: dict) -> float:
+        """When an incident expires unless it is seen again."""
+        return inc["seen"] + self.limits.expiry_min(inc["type"]) * 60
+
     def expire(self, now: float) -> list[dict]:
         gone = [i for i in self.items.values()
                 if now - i["seen"] > self.limits.expiry_min(i["type"]) * 60]
@@ -99,7 +105,7 @@ class OpenIncidents:
 
     def process(self, m: dict) -> list[dict]:
         """Rows caused by message ``m``: t, id, type, category, status, places, confidence, ..."""
-        self.expire(m["t"])
+        self.gone = self.expire(m["t"])
         if m["status"] == "Terminated":
             return self._clear(m)
         if not m["places"]:
@@ -215,7 +221,7 @@ def incident_table(assigned: DataFrame, as_of=None, limits: Limits = LIMITS) ->
     order = F.struct("ts", "message_id")
     sight = F.col("action").isin("new", "same", "far")
     g = a.groupBy("incident_id", "scope").agg(
-        F.min_by(F.when(sight, F.col("type")), order).alias("type"),
+        F.min("root").alias("root"), F.min_by(F.when(sight, F.col("type")), order).alias("type"),
         F.min_by(F.when(sight, F.col("category")), order).alias("category"),
         F.min(F.when(sight, F.col("ts"))).alias("first_seen"),
         F.max(F.when(sight & (F.size("added") > 0), F.col("ts"))).alias("last_seen"),
@@ -336,6 +342,40 @@ def previous_incident(inc: DataFrame, clr: DataFrame, seconds: int) -> DataFrame
                     .alias("incident_id"))
 
 
+def closed_oldest(incidents: DataFrame, points: DataFrame, clears: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """(clear_id, incident_id): an all-clear with places closes the oldest incident of its scope that is open at that
+    time, was already seen at one of these places, and no earlier all-clear has closed.
+
+    clears: scope, clear_ts, clear_id, place (a row for each place named); points: incident_id, place, ts. An incident
+    is open from its first sighting until its last one plus its lifetime. Candidates come from one equi-join on scope, place and time bucket.
+    They are then settled in rounds: a clear takes its oldest candidate once no earlier undecided clear
+    could take that one. The earliest undecided clear of a scope always can, so every round decides some, and
+    the outcome is that of going through the clears one after the other.
+    """
+    life = F.unix_micros("last_seen") + expiry(F.col("type"), limits) * 60_000_000
+    width = int(limits.longest_expiry_min * 60) * 1_000_000
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    seen = points.groupBy("incident_id", F.lower("place").alias("_p")).agg(F.min("ts").alias("_from"))
+    i = incidents.withColumn("_until", life.cast("long")).join(seen, "incident_id").select(
+        "scope", "incident_id", "first_seen", "_until", "_from", "_p",
+        F.explode(F.sequence(bucket(F.unix_micros("_from")), bucket(F.col("_until")))).alias("_b"))
+    c = clears.select("scope", "clear_ts", "clear_id", F.lower("place").alias("_p"), bucket(F.unix_micros("clear_ts")).alias("_b"))
+    cand = c.join(i, ["scope", "_p", "_b"]).where((F.col("_from") <= F.col("clear_ts")) & (F.unix_micros("clear_ts") <= F.col("_until")))
+    clear, age = F.struct("clear_ts", "clear_id"), F.struct("first_seen", "incident_id")
+    cand = cut_lineage(cand.select(clear.alias("c"), age.alias("i")).distinct(), "candidates")
+    out = None
+    while True:
+        wish = cand.groupBy("c").agg(F.min("i").alias("i"))
+        first = cand.groupBy("i").agg(F.min("c").alias("c"))
+        done = cut_lineage(wish.join(first, ["c", "i"]), "closed")
+        if done.isEmpty():
+            break
+        out = done if out is None else out.unionByName(done)
+        cand = cut_lineage(cand.join(done.select("c"), "c", "left_anti").join(done.select("i"), "i", "left_anti"), "candidates")
+    out = done if out is None else out
+    return out.select("c.clear_id", "i.incident_id")
+
+
 def closed_by_place(incidents: DataFrame, incident_places: DataFrame, clears: DataFrame,
                     hours: float = 1.0) -> DataFrame:
     """(incident_id): open incidents whose first place is named by an all-clear in

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,8 +47,22 @@ def _stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+class Expired(NamedTuple):
+    """An incident that ran out, in place of the message that would have touched it."""
+
+    scope: int | None
+    message_id: None
+    ts: pd.Timestamp
+    type: str
+    category: str | None
+
+
 class AssignProcessor(StatefulProcessor):
-    """Incident assignment per scope: one map entry per open incident, dropped when it expires."""
+    """Incident assignment per scope: one map entry per open incident, one timer for the next that expires.
+
+    Only entries that a batch changed are written. An incident that is not seen again for its lifetime leaves
+    the state with a row of its own (action ``expired``, at the time it ran out), by a later message or by the timer.
+    """
 
     def __init__(self, limits: Limits = LIMITS):
         self.limits = limits
@@ -56,43 +71,60 @@ class AssignProcessor(StatefulProcessor):
         self.handle = handle
         self.open = handle.getMapState("open", "root long", "body string")
 
-    def _load(self) -> dict[int, dict]:
-        return {int(k[0]): json.loads(v[0]) for k, v in self.open.iterator()}
+    def _load(self) -> tuple[OpenIncidents, dict[int, str]]:
+        before = {int(k[0]): v[0] for k, v in self.open.iterator()}
+        state = OpenIncidents(self.limits)
+        state.items = {root: json.loads(body) for root, body in before.items()}
+        return state, before
 
-    def _store(self, before: set[int], items: dict[int, dict]) -> None:
-        for root in before - set(items):
+    def _store(self, state: OpenIncidents, before: dict[int, str]) -> None:
+        for root in before.keys() - state.items.keys():
             self.open.removeKey((root,))
-        for root, inc in items.items():
-            self.open.updateValue((root,), (json.dumps(inc),))
+        for root, inc in state.items.items():
+            body = json.dumps(inc)
+            if body != before.get(root):
+                self.open.updateValue((root,), (body,))
+        wanted = {int(min(map(state.due, state.items.values())) * 1000) + 1} if state.items else set()
+        timers = set(self.handle.listTimers())
+        for t in timers - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - timers:
+            self.handle.registerTimer(t)
+
+    @staticmethod
+    def _rows(scope, state: OpenIncidents, gone: list[dict]) -> list[tuple]:
+        at = lambda i: pd.Timestamp(round(state.due(i) * 1e6), unit="us")
+        return [(Expired(scope, None, at(i), i["type"], i["category"]),
+                 {"root": i["root"], "action": "expired", "status": "Expired", "confidence": i["conf"]})
+                for i in sorted(gone, key=lambda i: (state.due(i), i["root"]))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
-        items = self._load()
-        before = set(items)
-        state = OpenIncidents(self.limits)
-        state.items = items
-        out = [(r, o) for r in batch.itertuples(index=False) for o in state.step(r)]
-        self._store(before, state.items)
-        if state.items:
-            due = max(i["seen"] + self.limits.expiry_min(i["type"]) * 60 for i in state.items.values())
-            self.handle.registerTimer(int(due * 1000) + 1)
+        state, before = self._load()
+        out = []
+        for r in batch.itertuples(index=False):
+            got = [(r, o) for o in state.step(r)]
+            out += self._rows(r.scope, state, state.gone) + got
+        self._store(state, before)
         yield result_frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        items = self._load()
-        before = set(items)
-        state = OpenIncidents(self.limits)
-        state.items = items
-        state.expire(expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        self._store(before, state.items)
-        return iter([])
+        state, before = self._load()
+        # all that the watermark has passed: a timer set here would wait for the next batch
+        gone = state.expire(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) / 1000)
+        self._store(state, before)
+        if gone:
+            yield result_frame(self._rows(key[0], state, gone))
 
     def close(self) -> None:
         pass
 
 
 def assign_stream(stream: DataFrame, limits: Limits = LIMITS, delay: str = "10 minutes") -> DataFrame:
-    """Streaming counterpart of ``incidents.assign`` (SIGHTING columns plus clear_type)."""
+    """Streaming counterpart of ``incidents.assign`` (SIGHTING columns plus clear_type).
+
+    Besides the rows of the batch job it emits one for each incident that expires.
+    """
     _stateful(stream.sparkSession)
     return stream.withWatermark("ts", delay).groupBy("scope").transformWithStateInPandas(
         statefulProcessor=AssignProcessor(limits), outputStructType=ASSIGNED, outputMode="Append",
