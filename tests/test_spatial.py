@@ -43,6 +43,70 @@ def test_nearest_k_with_copies(world):
         assert [p for _, p in sorted(got[(la, lo)])] == want
 
 
+def globe(seed, n):
+    """Places over the whole globe, in clusters, around the poles and on both sides of the 180th meridian."""
+    r = random.Random(seed)
+    out = [(90.0, 0.0), (-90.0, 10.0), (0.0, 180.0), (0.0, -180.0), (89.99, -170.0)]
+    while len(out) < n:
+        kind = r.randrange(4)
+        lat = [r.uniform(-90, 90), r.uniform(88, 90), r.uniform(-1, 1), 50 + r.gauss(0, 0.05)][kind]
+        lon = [r.uniform(-180, 180), r.uniform(-180, 180), r.choice([-180, 179.5]) + r.random() * 0.5, 37 + r.gauss(0, 0.05)][kind]
+        out.append((lat, lon))
+    return out
+
+
+def km(a, b):
+    """Exact also for places that nearly face each other."""
+    v = [(math.cos(math.radians(p)) * math.cos(math.radians(q)), math.cos(math.radians(p)) * math.sin(math.radians(q)), math.sin(math.radians(p)))
+         for p, q in (a, b)]
+    return 2 * 6371.0 * math.asin(min(1.0, math.dist(*v) / 2))
+
+
+@pytest.mark.parametrize("n,k", [(400, 1), (400, 4), (3, 5)])
+def test_nearest_over_the_whole_globe(spark, n, k):
+    spots, origins = globe(1, n), globe(2, 120)
+    pdf = spark.createDataFrame([(i, f"p{i}", *s) for i, s in enumerate(spots)], "place_id long, name string, lat double, lon double")
+    odf = spark.createDataFrame([(i, *o) for i, o in enumerate(origins)], "id long, la double, lo double")
+    got = {}
+    for r in S.nearest_k(S.origins_of(odf, "la", "lo"), pdf, k).collect():
+        got.setdefault((r.lat0, r.lon0), []).append((r["rank"], r.dist))
+    near = {r.id: r.dist for r in S.nearest_place(odf, pdf, "la", "lo").collect()}
+    for i, o in enumerate(origins):
+        want = sorted(km(o, s) for s in spots)[:k]
+        assert [d for _, d in sorted(got[o])] == pytest.approx(want, abs=1e-3)
+        assert near[i] == pytest.approx(want[0], abs=1e-3)
+
+
+@pytest.mark.parametrize("radius", [7.0, 300.0, 15_000.0])
+def test_radius_over_the_whole_globe(spark, radius):
+    spots, origins = globe(3, 150), globe(4, 80)
+    pdf = spark.createDataFrame([(i, f"p{i}", *s) for i, s in enumerate(spots)], "place_id long, name string, lat double, lon double")
+    odf = spark.createDataFrame([(i, *o) for i, o in enumerate(origins)], "id long, la double, lo double")
+    got = {(r.id, r.place_id) for r in S.attach_places(S.within_radius(odf, pdf, "la", "lo", radius), pdf).collect()}
+    want = {(i, j) for i, o in enumerate(origins) for j, s in enumerate(spots) if km(o, s) <= radius}
+    assert got == want and want
+
+
+def test_many_places_without_a_cross_join(spark):
+    pdf = spark.range(100_000).selectExpr("id as place_id", "concat('p', id) as name", "degrees(asin(2 * rand(1) - 1)) as lat", "360 * rand(2) - 180 as lon")
+    odf = spark.range(500).selectExpr("id", "degrees(asin(2 * rand(3) - 1)) as la", "360 * rand(4) - 180 as lo")
+    for df in (S.nearest_k(S.origins_of(odf, "la", "lo"), pdf, 5), S.nearest_place(odf, pdf, "la", "lo"), S.within_radius(odf, pdf, "la", "lo", 50.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    p = pdf.collect()
+    some = {r.id: r.dist for r in S.nearest_place(odf, pdf, "la", "lo").collect()}
+    for r in odf.limit(20).collect():
+        assert some[r.id] == pytest.approx(min(km((r.la, r.lo), (x.lat, x.lon)) for x in p), abs=1e-3)
+
+
+def test_no_places_and_null_coordinates(spark):
+    pdf = spark.createDataFrame([(1, "a", 50.0, 37.0)], "place_id long, name string, lat double, lon double")
+    odf = spark.createDataFrame([(1, None, 37.0), (2, 50.0, 37.0)], "id long, la double, lo double")
+    assert {r.id: r.place_id for r in S.nearest_place(odf, pdf, "la", "lo").collect()} == {1: None, 2: 1}
+    assert {r.id: r.place_id for r in S.nearest_place(odf, pdf.limit(0), "la", "lo").collect()} == {1: None, 2: None}
+    assert S.nearest_k(S.origins_of(odf, "la", "lo"), pdf.limit(0), 2).collect() == []
+
+
 def test_block_join_gives_the_same_pairs(world):
     _, pdf, _, df = world
     a = sizing.pair_with(df, pdf).count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 EARTH_KM = 6371.0
@@ -26,6 +28,17 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
 
 
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The place on the unit sphere: east of the pole's axis, north of it, along it."""
+    p, l = F.radians(lat), F.radians(lon)
+    return F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p)
+
+
+def chord(km: float) -> float:
+    """Straight distance, on the unit sphere, of places ``km`` apart."""
+    return 2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2))
+
+
 def destination(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[Column, Column]:
     """Point reached from (lat, lon) along ``bearing`` after ``km``."""
     p, b, a = F.radians(lat), F.radians(bearing), km / F.lit(EARTH_KM)

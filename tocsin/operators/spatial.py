@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tocsin.functions.geo import KM_PER_DEGREE, bearing_deg, cell, haversine_km, sectors_of
+from tocsin.functions.geo import KM_PER_DEGREE, bearing_deg, cell, chord, haversine_km, sectors_of, unit_vector
 from tocsin.operators.sizing import checked_broadcast, pair_with
 from tocsin.session import cut_lineage
 from tocsin.settings import ADMIN_SHORT, ADMIN_TERMS
@@ -92,11 +92,13 @@ def _top_places(measured: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def nearest_k(origins: DataFrame, places: DataFrame, k: int = 5) -> DataFrame:
-    """k nearest places of each origin (lat0, lon0) with distance and azimuth."""
-    m = _measured(origins, coordinates(places, k))
+    """k nearest places of each origin (lat0, lon0) with distance and azimuth (see ``_ring_candidates``)."""
+    o = _with_cell(origins.where(F.col("lat0").isNotNull() & F.col("lon0").isNotNull()), "lat0", "lon0")
+    cand = _ring_candidates(o.select(*_CELL).distinct(), coordinates(places, k), k)
+    m = o.join(cand, _CELL).withColumn("dist", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
     return _top_places(m, ["lat0", "lon0"], k).select(
         "lat0", "lon0", "rank", F.col("p.place_id").alias("place_id"), F.col("p.name").alias("name"),
-        "dist", "azimuth")
+        "dist", bearing_deg(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")).alias("azimuth"))
 
 
 def nearest_in_sector(origins: DataFrame, places: DataFrame, k: int = 3, width: int = 5) -> DataFrame:
@@ -133,77 +135,93 @@ def sector_weights(origins: DataFrame, places: DataFrame, width: int = 5) -> Dat
 # exact pruning by cells
 # ---------------------------------------------------------------------------------------------
 
-def _cell_frame(cells: DataFrame, deg: float) -> DataFrame:
-    """Cell centre and a bound on the distance from the centre to any point of the cell."""
-    mid_lat, mid_lon = (F.col("cy") + 0.5) * deg, (F.col("cx") + 0.5) * deg
-    south = haversine_km(mid_lat, mid_lon, F.col("cy") * deg, F.col("cx") * deg)
-    north = haversine_km(mid_lat, mid_lon, (F.col("cy") + 1) * deg, F.col("cx") * deg)
-    return cells.select("cy", "cx", mid_lat.alias("lat0"), mid_lon.alias("lon0"),
-                        (F.greatest(south, north) * 1.01).alias("reach"))
+#: Cells are cubes in the space around the unit sphere, so that neither poles nor the 180th meridian are borders. A
+#: cell of level n has the edge 2 ** -n: 1.6 km at the finest level; at the coarsest, 27 cells hold everything.
+FINEST, COARSEST = 12, -1
+_CELL = ["cx", "cy", "cz"]
+_KEY = ["level", "kx", "ky", "kz"]
 
 
-def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str,
-                  deg: float = CELL_DEG) -> DataFrame:
-    """Adds place_id, name, dist of the nearest place of each point (ties: lowest place_id).
+def _with_cell(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """With the finest cell of each row."""
+    return df.withColumns({c: F.floor(v * 2 ** FINEST) for c, v in zip(_CELL, unit_vector(F.col(lat), F.col(lon)))})
 
-    Per occupied cell only coordinates within (nearest to the centre + 2 x reach) can be nearest to
-    any point of the cell (triangle inequality). Points then meet just those by an equi-join.
+
+def _coarser(df: DataFrame) -> DataFrame:
+    """The cell of the row's level that holds its finest cell."""
+    edge = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("level"))
+    return df.withColumns({k: F.floor(F.col(c) / edge) for k, c in zip(_KEY[1:], _CELL)})
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row once for its cell and the 26 around it."""
+    for k in _KEY[1:]:
+        df = df.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in (-1, 0, 1)])))
+    return df
+
+
+def _ring_candidates(cells: DataFrame, coords: DataFrame, k: int) -> DataFrame:
+    """The coordinates that can be among the ``k`` nearest of any origin in each of the finest ``cells``.
+
+    The rings widen from level to level. Where the cell around an origin holds k places, the k-th nearest is no
+    farther than its diagonal, less than the edge of the next coarser level: that cell and the 26 around it
+    are then searched. The level comes from counts, by one equi-join; the search is another. By the triangle
+    inequality only coordinates no farther from the cell's centre than the k-th one there plus twice the
+    cell's half diagonal remain.
     """
-    cy, cx = cell(F.col(lat), F.col(lon), deg)
-    pts = cut_lineage(points.withColumn("cy", cy).withColumn("cx", cx), "projected")
-    frame = _cell_frame(pts.select("cy", "cx").distinct(), deg)
-    m = pair_with(frame, coordinates(places, 1)).withColumn(
-        "dist", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
-    m = m.withColumn("_best", F.min("dist").over(Window.partitionBy("cy", "cx")))
-    cand = (
-        m.where(F.col("dist") <= F.col("_best") + 2 * F.col("reach"))
-        .select("cy", "cx", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
-                F.col("firsts")[0].alias("_p"))
-        .groupBy("cy", "cx").agg(F.collect_list(F.struct("_plat", "_plon", "_p")).alias("_cands"))
-    )
+    levels = F.explode(F.sequence(F.lit(COARSEST), F.lit(FINEST))).alias("level")
+    keyed = _coarser(_with_cell(coords, "lat", "lon").select("*", levels))
+    rich = keyed.groupBy(*_KEY).agg(F.sum(F.size("firsts")).alias("_n")).where(F.col("_n") >= k).drop("_n")
+    found = _coarser(cells.select("*", levels)).join(rich, _KEY, "left_semi").groupBy(*_CELL).agg(F.max("level").alias("level"))
+    look = cells.join(found, _CELL, "left").withColumn("level", F.greatest(F.coalesce(F.col("level") - 1, F.lit(COARSEST)), F.lit(COARSEST)))
+    edge = 2.0 ** -FINEST
+    mids = [(F.col(c) + 0.5) * edge for c in _CELL]
+    away = F.sqrt(sum((m - v) * (m - v) for m, v in zip(mids, unit_vector(F.col("lat"), F.col("lon")))))
+    cand = _around(_coarser(look)).join(keyed.drop(*_CELL), _KEY).withColumn("_d", away)
+    w = Window.partitionBy(*_CELL).orderBy("_d")
+    cand = cand.withColumn("_kth", F.nth_value("_d", k).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    slack = edge * 3 ** 0.5 * 1.000001  # twice the half diagonal
+    return cand.where(F.col("_kth").isNull() | (F.col("_d") <= F.col("_kth") + slack)).select(*_CELL, *coords.columns)
+
+
+def nearest_place(points: DataFrame, places: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Adds place_id, name, dist of the nearest place of each point (ties: lowest place_id; none: null).
+
+    The candidates are found once per occupied cell; the points meet just those by an equi-join.
+    """
+    pts = cut_lineage(_with_cell(points, lat, lon), "projected")
+    occupied = pts.select(*_CELL).where(F.col("cx").isNotNull() & F.col("cz").isNotNull()).distinct()
+    cand = _ring_candidates(occupied, coordinates(places, 1), 1).groupBy(*_CELL).agg(
+        F.collect_list(F.struct(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("firsts")[0].alias("_p"))).alias("_cands"))
     scored = F.transform("_cands", lambda c: F.struct(
         haversine_km(F.col(lat), F.col(lon), c["_plat"], c["_plon"]).alias("dist"),
         c["_p"]["place_id"].alias("place_id"), c["_p"]["name"].alias("name")))
     return (
-        pts.join(cand, ["cy", "cx"], "left").withColumn("_best", F.array_min(scored))
+        pts.join(cand, _CELL, "left").withColumn("_best", F.array_min(scored))
         .select(*points.columns, F.col("_best.place_id").alias("place_id"),
                 F.col("_best.name").alias("name"), F.col("_best.dist").alias("dist"))
     )
 
 
-def _spread(places: DataFrame, km: float, deg: float) -> DataFrame:
-    """Places copied to every cell that a point within ``km`` of them can lie in.
-
-    The copies per place depend on ``km`` only. Valid up to 85 degrees of latitude and away from the
-    180th meridian, which cells do not wrap around.
-    """
-    dlat = km / KM_PER_DEGREE * 1.02
-    cos = F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + dlat, F.lit(85.0)))), F.lit(0.05))
-    dlon = F.lit(dlat) / cos
-    ys = F.sequence(F.floor((F.col("lat") - dlat) / deg).cast("int"),
-                    F.floor((F.col("lat") + dlat) / deg).cast("int"))
-    xs = F.sequence(F.floor((F.col("lon") - dlon) / deg).cast("int"),
-                    F.floor((F.col("lon") + dlon) / deg).cast("int"))
-    return places.withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
-
-
-def within_radius(points: DataFrame, places: DataFrame, lat: str, lon: str, km: float,
-                  deg: float | None = None) -> DataFrame:
-    """(point, place) rows no farther apart than ``km``: equi-join on cells, then the exact test.
+def within_radius(points: DataFrame, places: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """(point, place) rows no farther apart than ``km``, anywhere on the globe: equi-join on cells, then the exact test.
 
     Coordinates, not places, are joined; the places of a coordinate are attached afterwards only by
-    callers that need their names (see ``attach_places``). Cells are about as wide as the radius.
+    callers that need their names (see ``attach_places``). The cells' edge is the radius, so a point's partners lie in its cell and
+    those around; only those that the ball around a coordinate reaches get a copy of it.
     """
-    deg = deg or km / KM_PER_DEGREE
-    cy, cx = cell(F.col(lat), F.col(lon), deg)
-    pts = points.withColumn("cy", cy).withColumn("cx", cx)
-    coords = _spread(places.select("lat", "lon").distinct(), km, deg).select(
-        "cy", "cx", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    edge = chord(km) * 1.000001
+    at = lambda df, la, lo: df.withColumns({k: F.floor(v / edge) for k, v in zip(_KEY[1:], unit_vector(F.col(la), F.col(lo)))})
+    coords = places.select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct()
+    copies = _around(at(coords, "plat", "plon"))
+    gaps = [F.greatest(F.col(k) * edge - v, v - (F.col(k) + 1) * edge, F.lit(0.0))
+            for k, v in zip(_KEY[1:], unit_vector(F.col("plat"), F.col("plon")))]
+    copies = copies.where(sum(g * g for g in gaps) <= edge * edge)
     d = haversine_km(F.col(lat), F.col(lon), F.col("plat"), F.col("plon"))
-    row = F.abs(F.col(lat) - F.col("plat")) <= km / KM_PER_DEGREE  # cheap test ahead of the exact one
+    row = F.abs(F.col(lat) - F.col("plat")) <= km / KM_PER_DEGREE * 1.02  # cheap test ahead of the exact one
     return (
-        pts.join(coords, ["cy", "cx"]).where(row).withColumn("dist", d).where(F.col("dist") <= km)
-        .drop("cy", "cx")
+        at(points, lat, lon).join(copies, _KEY[1:]).where(row).withColumn("dist", d).where(F.col("dist") <= km)
+        .drop(*_KEY[1:])
     )
 
 
