@@ -136,8 +136,8 @@ def sector_weights(origins: DataFrame, places: DataFrame, width: int = 5) -> Dat
 # ---------------------------------------------------------------------------------------------
 
 #: Cells are cubes in the space around the unit sphere, so that neither poles nor the 180th meridian are borders. A
-#: cell of level n has the edge 2 ** -n: 1.6 km at the finest level; at the coarsest, 27 cells hold everything.
-FINEST, COARSEST = 12, -1
+#: cell of level n has the edge 2 ** -n: 12 km at the finest level; at the coarsest, 27 cells hold everything.
+FINEST, COARSEST = 9, -1
 _CELL = ["cx", "cy", "cz"]
 _KEY = ["level", "kx", "ky", "kz"]
 
@@ -155,9 +155,8 @@ def _coarser(df: DataFrame) -> DataFrame:
 
 def _around(df: DataFrame) -> DataFrame:
     """Each row once for its cell and the 26 around it."""
-    for k in _KEY[1:]:
-        df = df.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in (-1, 0, 1)])))
-    return df
+    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(26))))
+    return df.withColumns({k: F.col(k) + F.floor(F.col("_o") / 3 ** i) % 3 - 1 for i, k in enumerate(_KEY[1:])}).drop("_o")
 
 
 def _ring_candidates(cells: DataFrame, coords: DataFrame, k: int) -> DataFrame:
