@@ -6,15 +6,17 @@ import json
 import math
 from collections import Counter, deque
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tocsin.functions.text import bigram_jaccard, dedup_form, text_hash
 from tocsin.operators.ordered import previous_row, running_totals
 from tocsin.operators.replay import replay
+from tocsin.session import cut_lineage
 
-#: piece length of the filters ahead of edit distance
-GRAM = 5
+#: piece length of the filters ahead of edit distance: in the stream, and on bitmaps
+GRAM, PIECE = 5, 7
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,39 +26,73 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
         F.col("copies") > 1)
 
 
+@F.pandas_udf(T.BinaryType())
+def gram_bits(body: pd.Series) -> pd.Series:
+    """A bit for each distinct piece of a text, by hash, among 8 to 16 bits a character."""
+    def bits(text: str) -> bytes:
+        c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        h = np.zeros(max(len(c) - PIECE + 1, 0), np.uint64)
+        for i in range(PIECE):
+            h = (h + c[i:i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.zeros(1 << max(6, (8 * len(c) - 1).bit_length()), bool)
+        out[(h >> np.uint64(20)) & np.uint64(len(out) - 1)] = True
+        return np.packbits(out).tobytes()
+
+    return body.map(bits)
+
+
+@F.pandas_udf(T.IntegerType())
+def bits_lost(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Bits of x that y lacks: no more than the pieces of x that y lacks. The longer one is folded to the shorter."""
+    def lost(a: bytes, b: bytes) -> int:
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(np.frombuffer(v, np.uint8).reshape(-1, size)) for v in (a, b))
+        return int(np.bitwise_count(a & ~b).sum())
+
+    return pd.Series([lost(a, b) for a, b in zip(x, y)], dtype="int32")
+
+
 def near_pairs(df: DataFrame, key: str, text: str, scope: list[str], ts: str,
                seconds: int = 120, threshold: float = 0.9) -> DataFrame:
     """(key, earlier_id, similarity) for messages alike to an earlier one of the last ``seconds``.
 
-    Every such pair is found, however many messages lie between. Candidates meet by an equi-join on scope, time
-    bucket and length class; a text is ``threshold`` times as long as the other at least, so only neighbouring
-    classes can hold a partner. Set lengths, the number of pieces that edits could have destroyed and
-    a bounded edit distance then decide, all inside the JVM. Rows without time or text have no partner; a null
-    scope is a scope of its own. Hot buckets are split by the adaptive skew join.
+    Every such pair is found, however many messages lie between. The cleaned texts are written once. Candidates
+    meet by an equi-join on scope, time bucket and length class that carries ids, times and lengths only; a text is
+    ``threshold`` times as long as the other at least, so only neighbouring classes can hold a partner. Equal
+    texts are known by two hashes and the length. For the others the number of pieces that edits could have destroyed is
+    checked on bitmaps, and only what remains gets its texts for the bounded edit distance. Rows without time or
+    text have no partner; a null scope is a scope of its own. Hot buckets are split by the adaptive skew join.
     """
     m = df.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).select(
         F.struct(*[F.col(c).cast("string") for c in scope]).alias("scope"), F.col(key).alias("id"), F.col(ts).alias("ts"),
         dedup_form(F.col(text)).alias("body"))
-    chars = F.split("body", "")
-    grams = F.transform(F.sequence(F.lit(1), F.size("c") - GRAM + 1), lambda i: F.xxhash64(F.slice("c", i, F.lit(GRAM))))
-    m = m.withColumn("n", F.length("body")).withColumn("c", chars).withColumn(
-        "g", F.when(F.col("n") >= GRAM, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("c")
-    m = m.withColumn("b", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("long")).withColumn(
-        "k", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(threshold))).cast("int"))
-    late = m.select(F.struct("*").alias("x"), F.inline(F.expr(
+    m = m.withColumns({"row": F.monotonically_increasing_id(), "n": F.length("body"), "h": F.struct(F.xxhash64("body"), F.hash("body"))})
+    m = cut_lineage(m.withColumn("bits", gram_bits("body")), "bodies")
+    s = m.select("scope", "id", "ts", "row", "n", "h").withColumn("b", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("long")) \
+        .withColumn("k", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(threshold))).cast("int"))
+    late = s.select(F.struct("id", "ts", "row", "n", "h").alias("x"), "scope", F.inline(F.expr(
         "flatten(transform(array(-1, 0), i -> transform(array(-1, 0, 1), j -> struct(b + i as b, k + j as k))))")))
-    late = late.select("x", "b", "k", F.col("x.scope").alias("scope"))
-    early = m.select(F.struct("*").alias("y"), "b", "k", "scope")
-    j = late.join(early, ["scope", "b", "k"]).select("x", "y", F.greatest("x.n", "y.n").alias("w"))
+    early = s.select(F.struct("id", "ts", "row", "n", "h").alias("y"), "b", "k", "scope")
+    j = late.join(early, ["scope", "b", "k"])
     apart = F.unix_micros("x.ts") - F.unix_micros("y.ts")
     before = (F.col("y.ts") < F.col("x.ts")) | ((F.col("y.ts") == F.col("x.ts")) & (F.col("y.id") < F.col("x.id")))
-    j = j.where(before & (apart <= seconds * 1_000_000)).withColumn("edits", F.floor((1 - threshold) * F.col("w") + 1e-9).cast("int"))
+    j = j.where(before & (apart <= seconds * 1_000_000)).withColumn("w", F.greatest("x.n", "y.n"))
+    j = j.withColumn("edits", F.floor((1 - threshold) * F.col("w") + 1e-9).cast("int"))
     j = j.where(F.abs(F.col("x.n") - F.col("y.n")) <= F.col("edits"))
-    lost = F.size("x.g") - F.size(F.array_intersect("x.g", "y.g"))
-    same = F.col("x.body") == F.col("y.body")
-    j = j.withColumn("d", F.when(same, 0).when(lost <= GRAM * F.col("edits"), F.expr("levenshtein(x.body, y.body, edits)")))
-    return j.where("d >= 0").select(F.col("x.id").alias(key), F.col("y.id").alias("earlier_id"),
-                                    F.when(F.col("w") == 0, 1.0).otherwise(1 - F.col("d") / F.col("w")).alias("similarity"))
+    j = cut_lineage(j.select(F.col("x.id").alias("id"), F.col("y.id").alias("earlier_id"), F.col("x.row").alias("x"), F.col("y.row").alias("y"),
+                             "w", "edits", ((F.col("x.n") == F.col("y.n")) & (F.col("x.h") == F.col("y.h"))).alias("same")), "candidates")
+    pair = ["id", "earlier_id", "x", "y", "w", "edits"]
+    with_both = lambda c, col: c.join(m.select(F.col("row").alias("x"), F.col(col).alias("_x")), "x").join(
+        m.select(F.col("row").alias("y"), F.col(col).alias("_y")), "y")
+    rest = with_both(j.where("NOT same").select(*pair), "bits").where(bits_lost("_x", "_y") <= PIECE * F.col("edits"))
+    rest = cut_lineage(rest.select(*pair), "to-compare")
+    # small rows, long work: more parts than their bytes ask for, and written, as the filter on d would be pushed before the exchange
+    parts = 4 * m.sparkSession.sparkContext.defaultParallelism
+    rest = cut_lineage(with_both(rest, "body").repartition(parts, "x", "y"), "texts")
+    rest = rest.withColumn("d", F.expr("levenshtein(_x, _y, edits)")).where("d >= 0")
+    out = rest.select("id", "earlier_id", (1 - F.col("d") / F.col("w")).alias("similarity"))
+    out = out.unionByName(j.where("same").select("id", "earlier_id", F.lit(1.0).alias("similarity")))
+    return out.withColumnRenamed("id", key)
 
 
 def edit_distance(a: str, b: str) -> int:
