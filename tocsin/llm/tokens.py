@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tocsin.llm.common import small_batches, table
 
 MARK = "▁"
-#: Words, chunks and pairs whose encoding a task remembers, in each of two generations; forgotten when the task ends.
-MEMO = 80_000
+#: Words, chunks and pairs whose encoding a task remembers; a memory is emptied when it is full and when the task ends.
+MEMO = 100_000
 
 
 class Encoder:
@@ -56,7 +56,7 @@ class Encoder:
             self.shorter[i] = next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
         self.automaton.make_automaton()
         self.size = {i: len(p) for p, i in own.items()}
-        self.fits = Memo(self._fit)
+        self.fits: dict[tuple[int, int], bool] = {}
         inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(pair[1] == MARK and pair[0] != MARK for pair in inner):
             raise ValueError("a piece has the mark inside")
@@ -84,10 +84,15 @@ class Encoder:
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _fit(self, pair: tuple[int, int]) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two pieces gives just these two."""
-        p, q = self.pieces[pair[0]], self.pieces[pair[1]]
-        return self._merge(p + q) == [p, q]
+        known = self.fits.get((a, b))
+        if known is None:
+            p, q = self.pieces[a], self.pieces[b]
+            if len(self.fits) >= 4 * MEMO:
+                self.fits.clear()
+            known = self.fits[a, b] = self._merge(p + q) == [p, q]
+        return known
 
     def _known(self, s: str) -> list[int]:
         """Ids of a run of characters that are pieces themselves."""
@@ -103,7 +108,7 @@ class Encoder:
         failed = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, best[0]
-        size, fits = self.size, self.fits
+        size, fits, compatible = self.size, self.fits, self.compatible
         while True:
             last = out[-1] if out else -1
             while token >= 0:
@@ -111,7 +116,8 @@ class Encoder:
                 if not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
-                    if fits[last, token]:
+                    ok = fits.get((last, token))
+                    if compatible(last, token) if ok is None else ok:
                         break
                 token = self.shorter[token]
             if token >= 0:
@@ -184,28 +190,19 @@ class Encoder:
 
 
 class Memo(dict):
-    """What ``make`` gave for a key, for short keys. When MEMO are held they become the older generation, which goes when
-    the newer one is full; a key of the older one that is asked for again moves up, so frequent words stay."""
+    """What ``make`` gave for a key, for up to MEMO short keys; emptied when it is full."""
 
     def __init__(self, make):
         self.make = make
-        self.old: dict = {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if isinstance(key, tuple) or len(key) <= 64:
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= 64:
             if len(self) >= MEMO:
-                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
 
 @lru_cache(maxsize=2)
 def _encoder(file: str) -> Encoder:
@@ -227,8 +224,8 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
         try:
             yield from encoded(enc, batches)
         finally:  # the worker may live on for other stages
-            enc.words.forget()
-            enc.pieces_of_chunk.forget()
+            enc.words.clear()
+            enc.pieces_of_chunk.clear()
 
     def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
