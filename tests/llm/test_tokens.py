@@ -30,6 +30,26 @@ def test_special_strings(both, text):
     same(both, text)
 
 
+def test_compatible_is_merging_the_joined_text(both):
+    enc, r = both[0], random.Random(2)
+    own = sorted(enc.size)
+    by_first = {}
+    for i in own:
+        by_first.setdefault(enc.pieces[i][0], []).append(i)
+    known = [i for i in own if enc.pieces[i][0] != "▁"]
+    found = set()
+    for _ in range(20_000):
+        a = r.choice(own)
+        longer = r.choice(by_first[enc.pieces[a][0]])  # pairs whose joined text often holds another piece
+        rest = enc.pieces[longer][len(enc.pieces[a]):] if enc.pieces[longer].startswith(enc.pieces[a]) else ""
+        b = enc.ids.get(rest) if rest and enc.ids.get(rest) in enc.size else r.choice(known)
+        p, q = enc.pieces[a], enc.pieces[b]
+        want = enc._merge(p + q) == [p, q]
+        assert enc.compatible(a, b) == want, (p, q)
+        found.add(want)
+    assert found == {True, False}
+
+
 def test_table(spark, docs_of, both):
     got = encode_texts(docs_of(ODD_ROWS, extra=True), default_model()).collect()
     assert len(got) == len(ODD_ROWS)

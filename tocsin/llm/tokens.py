@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tocsin.llm.common import small_batches, table
 
 MARK = "▁"
-#: Words, chunks and pairs whose encoding a task remembers; a memory is emptied when it is full and when the task ends.
+#: Words and chunks (twice as many, in two generations, until the task ends) and pairs (four times) that a task remembers.
 MEMO = 100_000
+#: The rank of what is no piece.
+NEVER = 1e18
 
 
 class Encoder:
@@ -37,6 +39,7 @@ class Encoder:
         n = sp.get_piece_size()
         self.bytes = [0] * 256
         self.pieces = [""] * n
+        self.names = list(map(str, range(n)))
         self.rank: dict[str, int] = {}
         self.ids: dict[str, int] = {}
         self.byte_of: dict[int, int] = {}
@@ -52,16 +55,19 @@ class Encoder:
         self.shorter: dict[int, int] = {}
         own = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [p]}
         for p, i in own.items():
-            self.automaton.add_word(p, (i, len(p)))
+            if len(p) > 1:
+                self.automaton.add_word(p, (i, len(p) - 1))
             self.shorter[i] = next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
         self.automaton.make_automaton()
+        self.own = own
         self.size = {i: len(p) for p, i in own.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.spines = Table(self._spines)
+        self.single = {p: i for p, i in own.items() if len(p) == 1}
         inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(pair[1] == MARK and pair[0] != MARK for pair in inner):
             raise ValueError("a piece has the mark inside")
         self.linked = inner
-        self.pieces_of_chunk = Memo(self._chunk_text)
         self.words = Memo(self._word_text)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.parts = re.compile(rf"{MARK}+[^\W\d_]*|[^\W\d_]+|[\W\d_]+").findall
@@ -77,63 +83,96 @@ class Encoder:
         """Merging from single characters: the best rank first, the leftmost of equals."""
         parts = list(text)
         while len(parts) > 1:
-            best = min(((self.rank.get(a + b, 1e18), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 1e18:
+            best = min(((self.rank.get(a + b, NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))))
+            if best[0] == NEVER:
                 break
             k = best[1]
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _spines(self, i: int) -> tuple[list[float], list[str], list[str]]:
+        """How a piece is merged from its characters: the rank of each step (none left: NEVER), and the first and the
+        last part before each step."""
+        parts = list(self.pieces[i])
+        ranks, firsts, lasts = [], [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            rank, k = min((self.rank.get(a + b, NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            ranks.append(rank)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return [*ranks, NEVER], firsts, lasts
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the joined text of two pieces gives just these two."""
+        """Whether merging the joined text of two pieces gives just these two.
+
+        Both pieces are merged again side by side, step by step in order of rank (the left one first of equals), and at
+        each step the last part of the left piece and the first part of the right one must not be the better merge.
+        """
         known = self.fits.get((a, b))
-        if known is None:
-            p, q = self.pieces[a], self.pieces[b]
-            if len(self.fits) >= 4 * MEMO:
-                self.fits.clear()
-            known = self.fits[a, b] = self._merge(p + q) == [p, q]
+        if known is not None:
+            return known
+        if len(self.fits) >= 4 * MEMO:
+            self.fits.clear()
+        (left, _, lasts), (right, firsts, _) = self.spines[a], self.spines[b]
+        rank, i, j = self.rank.get, 0, 0
+        across = rank(lasts[0] + firsts[0], NEVER)
+        while True:
+            x, y = left[i], right[j]
+            if across < x and across <= y:
+                known = False
+                break
+            if x <= y:
+                if x == NEVER:
+                    known = True
+                    break
+                i += 1
+            else:
+                j += 1
+            across = rank(lasts[i] + firsts[j], NEVER)
+        self.fits[a, b] = known
         return known
 
     def _known(self, s: str) -> list[int]:
         """Ids of a run of characters that are pieces themselves."""
+        whole = self.own.get(s)
+        if whole is not None:
+            return [whole]
         n = len(s)
-        best = [-1] * n
-        width = [0] * n
-        for end, (i, k) in self.automaton.iter(s):
-            at = end - k + 1
-            if k > width[at]:
-                best[at], width[at] = i, k
-        if width[0] == n:
-            return [best[0]]
-        failed = bytearray(n + 1)
+        best = list(map(self.single.__getitem__, s))
+        for end, (i, back) in self.automaton.iter(s):  # of those with one start the longest comes last
+            best[end - back] = i
+        failed, any_failed = bytearray((n >> 3) + 1), False
         out: list[int] = []
-        at, token = 0, best[0]
-        size, fits, compatible = self.size, self.fits, self.compatible
+        at, last, token = 0, -1, best[0]
+        size, shorter, fits, compatible = self.size, self.shorter, self.fits, self.compatible
         while True:
-            last = out[-1] if out else -1
             while token >= 0:
                 end = at + size[token]
-                if not failed[end >> 3] >> (end & 7) & 1:
+                if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     ok = fits.get((last, token))
                     if compatible(last, token) if ok is None else ok:
                         break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = best[at]
+                at, last, token = end, token, best[end]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= size[token]
-                token = self.shorter[token]
+                token = shorter[token]
 
     def chunk(self, s: str) -> list[int]:
         """Ids of one chunk; characters that are no pieces become their bytes."""
+        if self.single.keys() >= set(s):
+            return self._known(s)
         ids, out, at = self.ids, [], 0
         for k, c in enumerate(s):
             if c not in ids:
@@ -145,16 +184,19 @@ class Encoder:
             out += self._known(s[at:])
         return out
 
-    def _chunk_text(self, s: str) -> tuple[str, str]:
-        ids = self.chunk(s)
-        return ",".join(map(str, ids)), self.decode(ids)
-
     def _word_text(self, word: str) -> tuple[str, str]:
-        got = [self.pieces_of_chunk[c] for c in self.chunks(word)]
-        return ",".join([g[0] for g in got]), "".join([g[1] for g in got])
+        """Ids and text of a word or a chunk, which is a word of one chunk."""
+        chunks = self.chunks(word)
+        if len(chunks) > 1 and word not in self.own:
+            got = [self.words[c] for c in chunks]
+            return ",".join([g[0] for g in got]), "".join([g[1] for g in got])
+        ids = self.chunk(word)
+        return ",".join([self.names[i] for i in ids]), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; runs of byte pieces are UTF-8, what is none becomes U+FFFD."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -168,17 +210,18 @@ class Encoder:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
-    def chunks(self, word: str) -> Iterator[str]:
+    def chunks(self, word: str) -> list[str]:
         """A word (marks, then other characters) cut where its neighbours stand side by side in no piece."""
         parts = self.parts(word)
-        held = parts[0]
+        if len(parts) == 1:
+            return parts
+        out = parts[:1]
         for p in parts[1:]:
-            if held[-1] + p[0] in self.linked:
-                held += p
+            if out[-1][-1] + p[0] in self.linked:
+                out[-1] += p
             else:
-                yield held
-                held = p
-        yield held
+                out.append(p)
+        return out
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """(ids joined by commas, number of ids, decoded text)."""
@@ -189,20 +232,39 @@ class Encoder:
         return ids, ids.count(",") + 1, "".join([g[1] for g in got])[1:]
 
 
-class Memo(dict):
-    """What ``make`` gave for a key, for up to MEMO short keys; emptied when it is full."""
+class Table(dict):
+    """What ``make`` gave for a key; for keys that are few, such as pieces."""
 
     def __init__(self, make):
         self.make = make
 
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+class Memo(dict):
+    """What ``make`` gave for a key, for short keys: the last MEMO new ones, and of those before what was used since."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
     def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 @lru_cache(maxsize=2)
 def _encoder(file: str) -> Encoder:
@@ -224,8 +286,7 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
         try:
             yield from encoded(enc, batches)
         finally:  # the worker may live on for other stages
-            enc.words.clear()
-            enc.pieces_of_chunk.clear()
+            enc.words.forget()
 
     def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
