@@ -1,11 +1,12 @@
 import random
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tocsin.operators.dedup import islands
 from tocsin.operators.replay import replay
-from tocsin.operators.ordered import first_after, previous_row, running_totals, with_history
+from tocsin.operators.ordered import first_after, previous_row, running_totals, sessions, with_history
 
 
 def stream(spark, n=600, seed=1, step=40):
@@ -95,3 +96,48 @@ def test_replay_repairs_every_wrong_start(spark):
     w = pdf.sort_values(["ts", "id"])
     want = dict(zip(w["id"], w.groupby("k")["id"].cumsum()))
     assert dict(zip(got["id"], got["total"])) == want
+
+
+def test_hot_key_over_many_buckets(spark):
+    """Buckets of a minute with long empty stretches between them; the same as one window a key."""
+    pdf, df = stream(spark, n=400, seed=7, step=4000)
+    w = pdf.sort_values(["ts", "id"])
+    got = dict(previous_row(df, ["k"], "ts", ["id"], ["id"], "p", 60).select("id", "p.id").toPandas().dropna().values)
+    want = w.assign(p=w.groupby("k")["id"].shift()).dropna(subset=["p"])
+    assert got == dict(want[["id", "p"]].values)
+    got = running_totals(df, ["k"], "ts", ["id"], {"s": "id"}, 60).select("id", "s").toPandas()
+    assert dict(got.values) == dict(w.assign(s=w.groupby("k")["id"].cumsum())[["id", "s"]].values)
+
+
+def test_null_keys_times_and_values(spark):
+    t = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None, t, 1, None), (None, t + timedelta(days=3), 2, 5), (1, None, 3, 7), (1, t, 4, None)],
+                               "k int, ts timestamp, id int, v int")
+    assert dict(previous_row(df, ["k"], "ts", ["id"], ["id"], "p").select("id", "p.id").collect()) == {1: None, 2: 1, 3: None, 4: 3}
+    assert dict(running_totals(df, ["k"], "ts", ["id"], {"s": "v"}).select("id", "s").collect()) == {1: None, 2: 5, 3: 7, 4: 7}
+    assert previous_row(df.limit(0), ["k"], "ts", ["id"], ["id"]).count() == 0
+    assert sessions(df, ["k"], "ts", F.lit(1)).where("k = 1").count() == 1
+
+
+def test_sessions_equal_brute_force(spark):
+    for seed, step, width in ((8, 40, 60), (9, 400, 60), (10, 4000, 600)):
+        pdf, df = stream(spark, n=500, seed=seed, step=step)
+        gap = F.when(F.col("k") == 0, 20).otherwise(150).cast("long") * 1_000_000
+        got = {(r.k, r.start, r.last, r.n) for r in sessions(df, ["k"], "ts", gap, width).collect()}
+        want = set()
+        for k, part in pdf.sort_values("ts").groupby("k"):
+            runs = []
+            for t in part["ts"]:
+                if runs and (t - runs[-1][-1]).total_seconds() < (20 if k == 0 else 150):
+                    runs[-1].append(t)
+                else:
+                    runs.append([t])
+            want |= {(k, r[0].to_pydatetime(), r[-1].to_pydatetime(), len(r)) for r in runs}
+        assert got == want
+
+
+def test_rows_are_shuffled_once_and_joined_to_nothing(spark):
+    _, df = stream(spark)
+    for plan in (previous_row(df, ["k"], "ts", ["id"], ["v"]), running_totals(df, ["k"], "ts", ["id"], {"s": "v"})):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("Exchange hashpartitioning") == 3

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tocsin.functions.geo import haversine_km
+from tocsin.operators import ordered
 from tocsin.operators.ordered import first_after, previous_row, running_totals
 from tocsin.operators.profiles import expiry, lifetime, max_distance, max_speed
 from tocsin.operators.replay import replay
@@ -286,14 +287,14 @@ def linked(sightings: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 
 def sessions(sightings: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Incidents by time alone: sightings of one (scope, type) chained while gaps stay within lifetime."""
+    """Incidents by time alone: sightings of one (scope, type) chained while gaps stay within lifetime.
+
+    A session ends when the lifetime of its last sighting is over; lifetimes count in whole minutes.
+    """
     minutes = lifetime(F.col("type"), limits).cast("int")
-    gap = F.concat(minutes.cast("string"), F.lit(" minutes"))
-    return (
-        sightings.groupBy("scope", "type", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("n"))
-        .select("scope", "type", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    )
+    s = ordered.sessions(sightings, ["scope", "type"], "ts", minutes.cast("long") * 60_000_000)
+    end = F.timestamp_micros(F.unix_micros("last") + minutes.cast("long") * 60_000_000)
+    return s.select("scope", "type", "start", end.alias("end"), "n")
 
 
 # --- closing, as joins over finished tables -----------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Ordered scans that do not put one hot key into one task.
 
 A plain ``lag`` or running sum over ``partitionBy(key)`` sends every row of a key to one task. Here
-the rows are windowed inside (key, time bucket). What crosses a bucket border comes from one summary
-row per bucket. A key has at most one summary row per bucket of the calendar (half a million per year
-at one minute), so the window over the summaries is small however hot the key is.
+the rows are windowed inside (key, time bucket), with one row more at the start of each bucket: what
+the buckets before it hand on. These rows come from a summary of one row per bucket, of which a key has
+no more than the calendar has buckets (9,000 a year at one hour), so the window over the
+summary is small however hot the key is. The rows themselves are shuffled once and joined to nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: bucket width in seconds
-WIDTH = 60
+WIDTH = 3_600
 
 
 def _bucket(ts: Column, width: int) -> Column:
@@ -19,46 +20,65 @@ def _bucket(ts: Column, width: int) -> Column:
 
 
 def _over_buckets(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b")
-
-
-def _join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], columns: list) -> DataFrame:
-    on = F.lit(True)
-    for c in [*keys, "_b"]:
-        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return rows.alias("r").join(summary.alias("s"), on, "left").select(*columns)
+    return Window.partitionBy(*keys).orderBy("_b")
 
 
 def previous_row(df: DataFrame, keys: list[str], ts: str, tie: list[str], carry: list[str],
                  out: str = "prev", width: int = WIDTH) -> DataFrame:
     """Add struct ``out`` holding the ``carry`` columns of the preceding row of the same key.
 
-    Order is (ts, *tie). Equal to ``lag(struct).over(partitionBy(keys))``.
+    Order is (ts, *tie), rows without a time first. Equal to ``lag(struct).over(partitionBy(keys))``: the last row
+    of each bucket is copied onward to the next bucket of the key that has rows.
     """
-    b = df.withColumn("_b", _bucket(F.col(ts), width))
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    packed = F.struct(*[F.col(c) for c in carry])
-    rows = b.withColumn("_lag", F.lag(packed).over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    last = b.groupBy(*keys, "_b").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carried = last.select(*keys, "_b", F.lag("_last").over(_over_buckets(keys)).alias("_carry"))
-    return _join_summary(rows, carried, keys, [
-        *[F.col(f"r.{c}") for c in df.columns], F.coalesce("r._lag", "s._carry").alias(out)])
+    b = df.withColumns({"_b": _bucket(F.col(ts), width), "_own": F.lit(True), "_c": F.struct(*carry)})
+    last = b.groupBy(*keys, "_b").agg(F.max_by("_c", F.struct(*order)).alias("_c"))
+    onward = last.select(*keys, F.lead("_b").over(_over_buckets(keys)).alias("_b"), "_c", F.lit(False).alias("_own"))
+    both = b.unionByName(onward.where("_b IS NOT NULL"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_own", *order)
+    return both.withColumn(out, F.lag("_c").over(w)).where("_own").select(*df.columns, out)
 
 
 def running_totals(df: DataFrame, keys: list[str], ts: str, tie: list[str],
                    sums: dict[str, str], width: int = WIDTH) -> DataFrame:
-    """Running sums (current row included) of ``sums = {output: input column}`` per key."""
-    b = df.withColumn("_b", _bucket(F.col(ts), width))
+    """Running sums (current row included) of ``sums = {output: input column}`` per key.
+
+    Equal to ``sum().over(partitionBy(keys).orderBy(ts, *tie))``: null until the first value. Each bucket starts with
+    the totals of those before it.
+    """
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = b.select("*", *[F.sum(c).over(w).alias(f"_in_{o}") for o, c in sums.items()])
-    per_bucket = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    b = df.withColumns({"_b": _bucket(F.col(ts), width), "_own": F.lit(True), **{f"_v_{o}": F.col(c) for o, c in sums.items()}})
+    total = b.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{o}").alias(f"_v_{o}") for o in sums])
     before = _over_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(*keys, "_b", *[
-        F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_p_{o}") for o in sums])
-    return _join_summary(rows, carried, keys, [
-        *[F.col(f"r.{c}") for c in df.columns],
-        *[(F.col(f"r._in_{o}") + F.col(f"s._p_{o}")).alias(o) for o in sums]])
+    onward = total.select(*keys, "_b", F.lit(False).alias("_own"), *[F.sum(f"_v_{o}").over(before).alias(f"_v_{o}") for o in sums])
+    both = b.unionByName(onward, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("*", *[F.sum(f"_v_{o}").over(w).alias(o) for o in sums]).where("_own").select(*df.columns, *sums)
+
+
+def sessions(df: DataFrame, keys: list[str], ts: str, gap_us: Column, width: int = WIDTH) -> DataFrame:
+    """(keys, start, last, n): stretches of a key in which each row comes less than ``gap_us`` after the one before.
+
+    ``gap_us`` (microseconds) must be the same for all rows of a key. Stretches are made inside (key, bucket); only the
+    first and the last one of a bucket can go on in another, and these are joined over the borders. Rows without
+    a time belong to no stretch.
+    """
+    b = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_t"), gap_us.alias("_gap"), _bucket(F.col(ts), width).alias("_b"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t")
+    begins = F.coalesce(F.unix_micros("_t") - F.unix_micros(F.lag("_t").over(w)) >= F.col("_gap"), F.lit(True))
+    b = b.withColumn("_begin", begins.cast("int")).withColumn(
+        "_no", F.sum("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = b.groupBy(*keys, "_b", "_no").agg(
+        F.min("_t").alias("start"), F.max("_t").alias("last"), F.count("*").alias("n"), F.first("_gap").alias("_gap"))
+    part = part.withColumn("_inner", (F.col("_no") > 1) & (F.col("_no") < F.max("_no").over(Window.partitionBy(*keys, "_b"))))
+    o = Window.partitionBy(*keys).orderBy("start")
+    edge = part.where(~F.col("_inner"))
+    apart = F.coalesce(F.unix_micros("start") - F.unix_micros(F.lag("last").over(o)) >= F.col("_gap"), F.lit(True))
+    edge = edge.withColumn("_begin", apart.cast("int")).withColumn(
+        "_no", F.sum("_begin").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = edge.groupBy(*keys, "_no").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    out = [*keys, "start", "last", "n"]
+    return part.where("_inner").select(*out).unionByName(whole.select(*out))
 
 
 def bucket_with_tail(df: DataFrame, scope: list[str], ts: str, tie: list[str], rows: int,
