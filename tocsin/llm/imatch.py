@@ -101,8 +101,9 @@ def fingerprint_texts(rows: DataFrame, key: str, sides: list[str], lex: DataFram
     each = r.select(key, F.inline(F.concat(own, terms)))
     if common is not None:
         each = each.join(F.broadcast(common.withColumn("common", F.lit(True))), "term", "left").filter("on = 0 or common is null").drop("common")
-    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter("on = 0 or known")
-    g = known.groupBy(key).agg(F.first("info", ignorenulls=True).alias("info"),
+    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter("on = 0 or known").drop("known")
+    # rows travel as they are: lists begun before the shuffle hold a term or two each, at three times the bytes
+    g = known.repartition(key).groupBy(key).agg(F.first("info", ignorenulls=True).alias("info"),
                                F.sort_array(F.collect_list(F.when(F.col("on") > 0, F.struct("term", "on")))).alias("t"))
     g = g.select(key, "info", *[F.transform(F.filter("t", _of_side(i)), lambda x: x["term"]).alias(f"_s{i}") for i in every])
     return g.select(key, *[g["info"][c].alias(c) for c in rest], *[
