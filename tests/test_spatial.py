@@ -135,3 +135,14 @@ def test_corridor_of_one_point_and_of_a_path(spark):
     df = spark.createDataFrame(rows, "incident_id long, lat double, lon double, prev struct<lat:double,lon:double>")
     got = S.corridor_samples(df, "incident_id").groupBy("incident_id").count().collect()
     assert {r.incident_id: r["count"] for r in got} == {1: 1, 2: 6}  # 10 km: five steps
+
+
+def test_attached_places_follow_each_other_by_coordinate(spark):
+    places = [(i, f"p{i}", 50.0 + i % 3 / 100, 37.0) for i in range(30)]
+    pdf = spark.createDataFrame(places, "place_id long, name string, lat double, lon double")
+    hits = spark.createDataFrame([(k, 50.0 + (k * 2) % 3 / 100, 37.0) for k in range(60)], "id long, plat double, plon double")
+    df = S.attach_places(hits, pdf)
+    rows = df.coalesce(1).collect()
+    assert {(r.id, r.place_id) for r in rows} == {(k, p[0]) for k in range(60) for p in places if p[2] == 50.0 + (k * 2) % 3 / 100}
+    runs = [r.plat for i, r in enumerate(rows) if i == 0 or rows[i - 1].plat != r.plat]
+    assert len(runs) == 3 and len({r.id for r in rows[:10]}) == 1

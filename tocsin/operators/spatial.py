@@ -225,10 +225,14 @@ def within_radius(points: DataFrame, places: DataFrame, lat: str, lon: str, km:
 
 
 def attach_places(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Expand coordinates (plat, plon) into the places there."""
+    """Expand coordinates (plat, plon) into the places there.
+
+    Rows are brought together by coordinate, in order: the same places then follow each other, and a written
+    result takes a fraction of the room. Before that it is coordinates, not places, that are moved.
+    """
     p = places.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place_id",
                       F.col("name").alias("place"))
-    return df.join(p, ["plat", "plon"])
+    return df.join(p.hint("merge"), ["plat", "plon"])
 
 
 def corridor_samples(points: DataFrame, key: str, step_km: float = 2.0) -> DataFrame:
