@@ -146,3 +146,12 @@ def test_attached_places_follow_each_other_by_coordinate(spark):
     assert {(r.id, r.place_id) for r in rows} == {(k, p[0]) for k in range(60) for p in places if p[2] == 50.0 + (k * 2) % 3 / 100}
     runs = [r.plat for i, r in enumerate(rows) if i == 0 or rows[i - 1].plat != r.plat]
     assert len(runs) == 3 and len({r.id for r in rows[:10]}) == 1
+
+
+def test_distinct_by_path_needs_no_shuffle_after_the_samples(spark):
+    rows = [(k, 50.0, 37.0 + k / 100, (50.0, 37.0)) for k in range(20)]
+    df = spark.createDataFrame(rows, "incident_id long, lat double, lon double, prev struct<lat:double,lon:double>")
+    s = S.corridor_samples(df, "incident_id")
+    plain = s._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(incident_id")
+    once = s.distinct()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(incident_id")
+    assert plain == once
