@@ -137,6 +137,24 @@ def test_corridor_of_one_point_and_of_a_path(spark):
     assert {r.incident_id: r["count"] for r in got} == {1: 1, 2: 6}  # 10 km: five steps
 
 
+def test_box_totals_equal_brute_force_and_make_no_pairs(spark):
+    rnd = random.Random(5)
+    places = [(i, f"p{i}", round(-0.05 + rnd.random() * 0.2, 3), round(-0.05 + rnd.random() * 0.2, 3)) for i in range(300)]
+    places += [(1000 + i, "same", 0.0, 0.0) for i in range(20)] + [(2000, "none", None, 0.0)]
+    spans = [sorted(round(-0.06 + rnd.random() * 0.22, 3) for _ in range(2)) + sorted(round(-0.06 + rnd.random() * 0.22, 3) for _ in range(2)) for _ in range(40)]
+    spans += [[0.0, 0.0, 0.0, 0.0], [5.0, 6.0, 5.0, 6.0]]
+    boxes = [(None if i == 3 else i, *s) for i, s in enumerate(spans)] + [(99, None, None, 0.0, 0.1)]
+    pdf = spark.createDataFrame(places, "place_id long, name string, lat double, lon double")
+    df = S.places_in_boxes(spark.createDataFrame(boxes, "b int, min_lat double, max_lat double, min_lon double, max_lon double"), pdf, totals=1e-3)
+    want = {}
+    for b, a, z, w, e in boxes[:-1]:
+        hit = [p[0] for p in places if p[2] is not None and a <= p[2] <= z and w <= p[3] <= e]
+        if hit:
+            want[b] = (len(hit), min(hit))
+    assert {r.b: (r.n, r.first_place) for r in df.collect()} == want
+    assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "place_id" in x and "Join" in x]
+
+
 def test_attached_places_follow_each_other_by_coordinate(spark):
     places = [(i, f"p{i}", 50.0 + i % 3 / 100, 37.0) for i in range(30)]
     pdf = spark.createDataFrame(places, "place_id long, name string, lat double, lon double")

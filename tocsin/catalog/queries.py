@@ -218,8 +218,7 @@ def box_places(spark, d):
     b = b.select("incident_id", *[F.round(c, 4).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
     p = X.places(spark, d)
     p = p.withColumn("lat", F.round("lat", 4)).withColumn("lon", F.round("lon", 4))
-    return S.places_in_boxes(b, p).groupBy("incident_id").agg(
-        F.count("*").alias("n"), F.min("place_id").alias("first_place"))
+    return S.places_in_boxes(b, p, totals=1e-4).select("incident_id", "n", "first_place")
 
 
 @query

@@ -256,8 +256,47 @@ def corridor_samples(points: DataFrame, key: str, step_km: float = 2.0) -> DataF
                       (F.col("_lo") + (F.col("lon") - F.col("_lo")) * f).alias("slon"))
 
 
-def places_in_boxes(boxes: DataFrame, places: DataFrame, deg: float = CELL_DEG) -> DataFrame:
-    """Places inside each (min_lat, max_lat, min_lon, max_lon): equi-join on covered cells."""
+def _dyadic(lo: Column, hi: Column, top: int) -> Column:
+    """Keys of the aligned stretches of 2 ** level whole numbers, two of a level at most, that make up lo..hi."""
+    def of_level(l):
+        a, b = -F.call_function("shiftright", -lo, l), F.call_function("shiftright", hi + 1, l)
+        return F.array(F.when((a < b) & (a % 2 != 0), a * 64 + l), F.when((a < b) & (b % 2 != 0), (b - 1) * 64 + l))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), of_level)), lambda k: k.isNotNull())
+
+
+def _box_totals(boxes: DataFrame, places: DataFrame, step: float) -> DataFrame:
+    """Number and lowest id of the places in each box, by sums over aligned rectangles.
+
+    A side of length m is made up of at most 2 log m aligned stretches, so a box is of 4 log m * log m rectangles, and a place
+    lies in one rectangle of each pair of levels: the work follows boxes plus places, not the pairs of them.
+    """
+    whole = lambda c: F.round(F.col(c) * round(1 / step)).try_cast("long")
+    keys = boxes.columns
+    b = boxes.withColumns({f"_{c}": whole(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")})
+    b = cut_lineage(b, "boxes")
+    tops = b.agg(*[F.max(F.floor(F.log2(F.col(f"_max_{c}") - F.col(f"_min_{c}") + 1))) for c in ("lat", "lon")]).first()
+    sides = [("_y", "lat", int(tops[0] or 0)), ("_x", "lon", int(tops[1] or 0))]
+    p = places.groupBy(whole("lat").alias("_lat"), whole("lon").alias("_lon")).agg(
+        F.count("*").alias("n"), F.min("place_id").alias("first_place"))
+    b = b.select(*keys, *[_dyadic(F.col(f"_min_{c}"), F.col(f"_max_{c}"), top).alias(k) for k, c, top in sides])
+    for k, c, top in sides:
+        b = b.withColumn(k, F.explode(k))
+        p = p.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(
+            k, F.call_function("shiftright", F.col(f"_{c}"), F.col("_l")) * 64 + F.col("_l"))
+    total = [F.sum("n").alias("n"), F.min("first_place").alias("first_place")]
+    return b.join(p.groupBy("_y", "_x").agg(*total), ["_y", "_x"]).groupBy(*keys).agg(*total)
+
+
+def places_in_boxes(boxes: DataFrame, places: DataFrame, deg: float = CELL_DEG, totals: float | None = None) -> DataFrame:
+    """Places inside each (min_lat, max_lat, min_lon, max_lon): equi-join on covered cells.
+
+    With ``totals``, the step in degrees that bounds and coordinates are multiples of, one row for each distinct box with places
+    instead: their number ``n`` and lowest id ``first_place``, without making the pairs.
+    """
+    if totals is not None:
+        return _box_totals(boxes, places, totals)
+
     def span(lo: str, hi: str):
         return F.sequence(F.floor(F.col(lo) / deg).cast("int"), F.floor(F.col(hi) / deg).cast("int"))
 
