@@ -862,6 +862,8 @@ def stream_expired(spark, d):
 
 
 WEEK = 604_800
+#: rows of a slice of the live feed from which it is written as several files
+SLICE_FILE_ROWS = 50_000
 
 
 def _live(spark, d) -> str:
@@ -873,9 +875,12 @@ def _live(spark, d) -> str:
     slice_ = F.col("_w") + F.when((F.col("message_id") % 37 == 0) & (F.col("_w") < high), WEEK).otherwise(0)
     plain = s.withColumn("_s", slice_).drop("_w")
     feed, root = scratch_dir(spark, "feed"), scratch_dir(spark, "live")
+    # every slice has the same number of files, so that a micro-batch is one slice and many tasks write and read it
+    n = max(1, (plain.groupBy("_s").count().agg(F.min("count")).first()[0] or 0) // SLICE_FILE_ROWS)
     for w in weeks:
-        plain.where(F.col("_s") == w).drop("_s").coalesce(1).write.mode("append").parquet(feed)
-    LV.run_live(spark, feed, s.drop("_w").schema, root, every_s=WEEK, maxFilesPerTrigger=1)
+        rows = plain.where(F.col("_s") == w).drop("_s")
+        (rows.repartition(n) if n > 1 else rows.coalesce(1)).write.mode("append").parquet(feed)
+    LV.run_live(spark, feed, s.drop("_w").schema, root, every_s=WEEK, maxFilesPerTrigger=n)
     return root
 
 
