@@ -213,3 +213,16 @@ def test_token_context_picks_best_recent(spark):
     assert [(r.message_id, r.context_id) for r in both.collect()] == [(3, 1)]
     applied = {r.message_id: r for r in C.apply_context(df, both).collect()}
     assert applied[3].confidence == pytest.approx(0.7 * 0.75) and "ContextApplied" in applied[3].flags
+
+
+def test_terms_within_words_and_across_words(spark):
+    texts = [(1, "the northgatehouse and northgatehouses by old mill"), (2, "oldmill"), (3, "millhouse  old mill"), (None, "northgate"), (5, None), (6, "")]
+    terms = [(1, "northgate"), (2, "old mill"), (3, "house"), (4, "gat"), (5, " old"), (6, "ll"), (7, "absent")]
+    t = spark.createDataFrame(texts, "k int, t string")
+    n = spark.createDataFrame(terms, "id int, n string")
+    want = sorted(((k, i) for k, x in texts if x is not None for i, y in terms if len(y) >= 3 and y in x), key=str)
+    df = G.find_terms(t, n, "k", "t", "id", "n", scan_rows=0)
+    assert sorted(((r.k, r.id) for r in df.collect()), key=str) == want
+    # the texts meet words; no pieces are made of them
+    only = G.find_terms(t, n.where("id = 1"), "k", "t", "id", "n", scan_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_g#" not in only and "_word#" in only

@@ -10,6 +10,7 @@ from tocsin.functions.text import grams, normal_phrase, normal_text
 from tocsin.operators.messages import top_per
 from tocsin.operators.sizing import checked_broadcast, fits_broadcast, spread
 from tocsin.operators.spatial import is_administrative
+from tocsin.session import cut_lineage
 
 Normalizer = Callable[[Column], Column]
 
@@ -27,16 +28,29 @@ def find_terms(texts: DataFrame, terms: DataFrame, text_key: str, text: str, ter
     piece of each term: texts explode into their distinct pieces, meet the terms by an equi-join on
     the piece, and the containment is verified. Terms of ``LONG`` characters use longer, more telling
     pieces. Both ways give the same rows. Terms shorter than ``gram`` are not looked for.
+
+    A term without a space lies within one word, so such terms are looked for in the distinct words of all texts, and
+    the texts meet the words that hold one. Only terms with a space take the pieces of whole texts.
     """
     small = terms.select(F.col(term_key), F.col(term).alias("_term")).where(F.length("_term") >= gram)
     body = spread(texts.select(F.col(text_key), F.col(text).alias("_text")))
     if fits_broadcast(small, scan_rows):
         return body.join(F.broadcast(small), F.col("_text").contains(F.col("_term"))).select(
             text_key, term_key)
+    words = body.select(text_key, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    held = _contained(words.select("_word", F.col("_word").alias("_text")).distinct(),
+                      small.where(~F.col("_term").contains(" ")), "_word", term_key, gram)
+    held = checked_broadcast(cut_lineage(held, "held"))  # read twice: counted, then joined
+    out = words.join(held, "_word").select(text_key, term_key).distinct()
+    spaced = small.where(F.col("_term").contains(" "))
+    return out if spaced.isEmpty() else out.unionByName(_contained(body, spaced, text_key, term_key, gram))
+
+
+def _contained(body: DataFrame, terms: DataFrame, text_key: str, term_key: str, gram: int) -> DataFrame:
     is_long = F.length("_term") >= LONG
-    out = _by_pieces(body, small.where(is_long), text_key, term_key, LONG)
-    if not small.where(~is_long).isEmpty():
-        out = out.unionByName(_by_pieces(body, small.where(~is_long), text_key, term_key, gram))
+    out = _by_pieces(body, terms.where(is_long), text_key, term_key, LONG)
+    if not terms.where(~is_long).isEmpty():
+        out = out.unionByName(_by_pieces(body, terms.where(~is_long), text_key, term_key, gram))
     return out
 
 
