@@ -132,3 +132,20 @@ def test_oldest_open_incident_at_a_place(spark, seed):
     got = {(x.clear_id, x.incident_id) for x in I.closed_oldest(inc, pts, clr).collect()}
     assert got == brute_oldest(incidents, points, clears) and len(got) > 10
     assert I.closed_oldest(inc, pts, clr.limit(0)).collect() == []
+
+
+def test_a_slice_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    from tocsin.catalog import queries as Q
+    r, t = random.Random(3), dt.datetime(2024, 1, 1)
+    events = [(i, t + dt.timedelta(minutes=i * 100 + r.randrange(90)), r.randrange(30), r.choice(["view", "click"])) for i in range(300)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, f"s{i}") for i in range(20)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    taken = []
+    run = Q.LV.run_live
+    monkeypatch.setattr(Q.LV, "run_live", lambda *a, **k: (taken.append(k["maxFilesPerTrigger"]), run(*a, **k)))
+    rows = []
+    for size in (50_000, 10):
+        monkeypatch.setattr(Q, "SLICE_FILE_ROWS", size)
+        rows.append(sorted(tuple(x) for x in Q.live_late(spark, str(tmp_path)).collect()))
+    assert taken[0] == 1 and taken[1] > 1
+    assert rows[0] == rows[1] and len(rows[0]) == 300 and any(x[2] for x in rows[0])
