@@ -35,3 +35,13 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.count() > 0
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_dedup_lines_cuts_each_text_once(spark, docs_of):
+    """A condition on the cut text must not cut it a second time, in a second Python worker for each task."""
+    rows = [(k, f"common line\nown line {k}" if k % 3 else "common line") for k in range(60)]
+    out = C.dedup_lines(spark, docs_of(rows).selectExpr("*", "cast(length(text) as int) as n_chars"), "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_kept(") == 1
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert got == {k: ((t := f"own line {k}" if k else "common line"), len(t)) for k in range(60) if k % 3 or not k}

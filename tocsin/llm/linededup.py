@@ -148,8 +148,10 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
         F.col("n_dropped").alias("_n"))
     cond = docs["doc_id"].eqNullSafe(bits["_id"]) & (text_key(docs["text"]) == bits["_key"])
     cols = [docs[c] for c in docs.columns if c not in ("text", "n_dropped")]
+    # else a condition on the text is evaluated below this, by a second Python worker for each task, which stays alive
+    kept = _kept.asNondeterministic()
     return docs.join(bits, cond, "left").select(
-        *cols, _kept(docs["text"], bits["_bits"]).alias("text"), F.coalesce(bits["_n"], F.lit(0)).alias("n_dropped"))
+        *cols, kept(docs["text"], bits["_bits"]).alias("text"), F.coalesce(bits["_n"], F.lit(0)).alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
