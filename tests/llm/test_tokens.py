@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 
 from conftest_llm import ODD_ROWS
+from tocsin.llm import tokens as K
 from tocsin.llm.tokens import Encoder, default_model, encode_texts
 
 
@@ -57,3 +58,22 @@ def test_table(spark, docs_of, both):
         ids = both[1].encode(r["text"] or "")
         assert (r["token_ids"], r["n_tokens"], r["decoded"]) == (",".join(map(str, ids)), len(ids), both[1].decode(ids))
     assert encode_texts(docs_of([]), default_model()).collect() == []
+
+
+def test_plain_words_are_not_cut(both, monkeypatch):
+    """A word of letters alone is one chunk; only others are looked through for borders."""
+    enc, sp = both
+    text = "zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich"
+    enc.words.forget()
+    monkeypatch.setattr(enc, "chunks", lambda word: pytest.fail(f"{word} was cut"))
+    assert enc.encode(text)[0] == ",".join(map(str, sp.encode(text)))
+
+
+def test_pairs_are_kept_by_their_left_piece_and_bounded(both, monkeypatch):
+    enc, sp = both
+    r = random.Random(3)
+    monkeypatch.setattr(K, "MEMO", 50)
+    for _ in range(300):
+        text = "".join(r.choice("abcderingon") for _ in range(30))
+        assert enc.encode(text)[0] == ",".join(map(str, sp.encode(text)))
+        assert sum(map(len, enc.fits)) == enc.n_fits <= 200

@@ -52,16 +52,19 @@ class Encoder:
                 self.pieces[i], self.ids[p], self.rank[p] = p, i, -sp.get_score(i)
         self._check(sp)
         self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int] = {}
+        self.shorter = [-1] * n
         own = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [p]}
+        self.size: dict[int, int] = {i: len(p) for p, i in own.items()}
+        self.texts = [p.replace(MARK, " ") for p in self.pieces]
         for p, i in own.items():
             if len(p) > 1:
                 self.automaton.add_word(p, (i, len(p) - 1))
             self.shorter[i] = next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
         self.automaton.make_automaton()
         self.own = own
-        self.size = {i: len(p) for p, i in own.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: by the left piece: whether the right one is compatible with it
+        self.fits: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.n_fits = 0
         self.spines = Table(self._spines)
         self.single = {p: i for p, i in own.items() if len(p) == 1}
         inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
@@ -109,11 +112,13 @@ class Encoder:
         Both pieces are merged again side by side, step by step in order of rank (the left one first of equals), and at
         each step the last part of the left piece and the first part of the right one must not be the better merge.
         """
-        known = self.fits.get((a, b))
+        known = self.fits[a].get(b)
         if known is not None:
             return known
-        if len(self.fits) >= 4 * MEMO:
-            self.fits.clear()
+        if self.n_fits >= 4 * MEMO:
+            for right in self.fits:
+                right.clear()
+            self.n_fits = 0
         (left, _, lasts), (right, firsts, _) = self.spines[a], self.spines[b]
         rank, i, j = self.rank.get, 0, 0
         across = rank(lasts[0] + firsts[0], NEVER)
@@ -130,29 +135,34 @@ class Encoder:
             else:
                 j += 1
             across = rank(lasts[i] + firsts[j], NEVER)
-        self.fits[a, b] = known
+        self.fits[a][b] = known
+        self.n_fits += 1
         return known
 
     def _known(self, s: str) -> list[int]:
-        """Ids of a run of characters that are pieces themselves."""
+        """Ids of a run of characters that are pieces themselves; KeyError if one is not."""
         whole = self.own.get(s)
         if whole is not None:
             return [whole]
         n = len(s)
-        best = list(map(self.single.__getitem__, s))
+        best = [*map(self.single.__getitem__, s)]
         for end, (i, back) in self.automaton.iter(s):  # of those with one start the longest comes last
             best[end - back] = i
-        failed, any_failed = bytearray((n >> 3) + 1), False
-        out: list[int] = []
-        at, last, token = 0, -1, best[0]
+        failed: bytearray | None = None
+        token = best[0]
         size, shorter, fits, compatible = self.size, self.shorter, self.fits, self.compatible
+        out, at, last = [token], size[token], token  # nothing stands before the first one
+        if at == n:
+            return out
+        token = best[at]
         while True:
+            right = fits[last] if last >= 0 else None
             while token >= 0:
                 end = at + size[token]
-                if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
-                    if last < 0:
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if right is None:
                         break
-                    ok = fits.get((last, token))
+                    ok = right.get(token)
                     if compatible(last, token) if ok is None else ok:
                         break
                 token = shorter[token]
@@ -162,8 +172,9 @@ class Encoder:
                     return out
                 at, last, token = end, token, best[end]
             else:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                any_failed = True
                 token = out.pop()
                 last = out[-1] if out else -1
                 at -= size[token]
@@ -171,8 +182,10 @@ class Encoder:
 
     def chunk(self, s: str) -> list[int]:
         """Ids of one chunk; characters that are no pieces become their bytes."""
-        if self.single.keys() >= set(s):
+        try:
             return self._known(s)
+        except KeyError:  # a character that is no piece
+            pass
         ids, out, at = self.ids, [], 0
         for k, c in enumerate(s):
             if c not in ids:
@@ -186,17 +199,18 @@ class Encoder:
 
     def _word_text(self, word: str) -> tuple[str, str]:
         """Ids and text of a word or a chunk, which is a word of one chunk."""
-        chunks = self.chunks(word)
-        if len(chunks) > 1 and word not in self.own:
-            got = [self.words[c] for c in chunks]
-            return ",".join([g[0] for g in got]), "".join([g[1] for g in got])
+        if not word[1:].isalpha():
+            chunks = self.chunks(word)
+            if len(chunks) > 1 and word not in self.own:
+                ids, texts = zip(*map(self.words.__getitem__, chunks))
+                return ",".join(ids), "".join(texts)
         ids = self.chunk(word)
-        return ",".join([self.names[i] for i in ids]), self.decode(ids)
+        return ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; runs of byte pieces are UTF-8, what is none becomes U+FFFD."""
         if self.byte_of.keys().isdisjoint(ids):
-            return "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
+            return "".join(map(self.texts.__getitem__, ids))
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -227,9 +241,9 @@ class Encoder:
         """(ids joined by commas, number of ids, decoded text)."""
         if not text:
             return "", 0, ""
-        got = list(map(self.words.__getitem__, self.split(MARK + text.replace(" ", MARK))))
-        ids = ",".join([g[0] for g in got])
-        return ids, ids.count(",") + 1, "".join([g[1] for g in got])[1:]
+        ids, texts = zip(*map(self.words.__getitem__, self.split(MARK + text.replace(" ", MARK))))
+        ids = ",".join(ids)
+        return ids, ids.count(",") + 1, "".join(texts)[1:]
 
 
 class Table(dict):
