@@ -97,3 +97,22 @@ def test_subsets_cover_the_lexicon(spark):
     both = sum(r["s"][0] and r["s"][1] for r in got)
     assert abs(both - n / 1024) < 6 * (n / 1024) ** 0.5
     assert all(sum(r["any"] for r in got if r["x"] % 16 == k) > 0.2 * n / 16 for k in range(16))
+
+
+def test_prints_stay_where_their_terms_are_gathered(spark, docs_of):
+    """The next text's print is found without moving the prints: nothing is shuffled after the rows are gathered by block."""
+    p = M.fingerprint_documents(docs_of(texts(300)))
+    plan = p._jdf.queryExecution().executedPlan().toString().split("\n")
+    top = next(k for k, x in enumerate(plan) if "Exchange" in x)
+    assert "REPARTITION_BY_COL" in plan[top] and "hashpartitioning(block" in plan[top]
+    assert any("collect_list" in x for x in plan[:top]) and any("Window" in x for x in plan[:top])
+
+
+def test_fingerprint_texts_by_one_key(spark, docs_of):
+    rows = docs_of(texts(60)[:40]).dropDuplicates(["doc_id"]).withColumn("more", F.col("text"))
+    lex = M.lexicon(rows, (0.0, 12.0))
+    one = M.fingerprint_texts(rows, ["doc_id"], ["text"], lex)
+    two = M.fingerprint_texts(rows.withColumn("part", F.col("doc_id") % 3), ["part", "doc_id"], ["text"], lex)
+    assert one.columns == ["doc_id", "more", "text_print"] and one.schema["doc_id"].dataType == rows.schema["doc_id"].dataType
+    assert {(r["doc_id"], r["more"], tuple(r["text_print"])) for r in one.collect()} == {
+        (r["doc_id"], r["more"], tuple(r["text_print"])) for r in two.collect()}

@@ -82,37 +82,45 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, df: DataFrame
     return df.filter((F.col("df") <= n / math.exp(band[0])) & (F.col("df") >= n / math.exp(band[1]))).select("term")
 
 
-def fingerprint_texts(rows: DataFrame, key: str, sides: list[str], lex: DataFrame, common: DataFrame | None = None) -> DataFrame:
+def fingerprint_texts(rows: DataFrame, keys: list[str], sides: list[str], lex: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """``rows`` without the text columns ``sides``, and a fingerprint column <side>_print for each.
 
-    ``key`` must be unique. The distinct terms of a row travel once, with the set of their sides, are joined to the
-    lexicon and gathered by key. A fingerprint is the array of signatures; a text without any lexicon term
+    ``keys`` must be unique together, the last one a whole number of 56 bits at most. The distinct terms of a row travel once,
+    with the set of their sides (in the low bits of the last key), are joined to the lexicon and gathered by key: rows
+    of one first key come into one partition. A fingerprint is the array of signatures; a text without any lexicon term
     has one hash of the text instead, so that equal texts have equal fingerprints and others differ. Null counts
     as empty. ``common`` are terms outside the lexicon, few enough for every task, that need not travel.
     """
-    rest = [c for c in rows.columns if c not in sides and c != key]
-    r = rows.select(key, F.struct(*rest, *[text_key(F.col(s)).alias(f"_all{i}") for i, s in enumerate(sides)]).alias("info"),
+    *first, last = keys
+    rest = [c for c in rows.columns if c not in sides and c not in keys]
+    r = rows.select(*keys, F.struct(*rest, *[text_key(F.col(s)).alias(f"_all{i}") for i, s in enumerate(sides)]).alias("info"),
                     *[_terms(F.col(s)).alias(f"_t{i}") for i, s in enumerate(sides)])
     info, every = r.schema["info"].dataType, range(len(sides))
     on = [(s, reduce(F.array_except, [F.col(f"_t{i}") for i in every if i not in s], reduce(F.array_intersect, [F.col(f"_t{i}") for i in s])))
           for n in every for s in combinations(every, n + 1)]
-    terms = F.concat(*[F.transform(t, _on_sides(sum(2**i for i in s), info)) for s, t in on])
-    own = F.array(F.struct(F.xxhash64(F.lit("row"), F.col(key)).alias("term"), F.lit(0).alias("on"), F.col("info").alias("info")))
-    each = r.select(key, F.inline(F.concat(own, terms)))
+    at = F.shiftleft(F.col(last).cast("long"), len(sides))
+    terms = F.concat(*[F.transform(t, _on_sides(at + sum(2**i for i in s), info)) for s, t in on])
+    own = F.array(F.struct(F.xxhash64(F.lit("row"), *keys).alias("term"), at.alias("at"), F.col("info").alias("info")))
+    each = r.select(*first, F.inline(F.concat(own, terms)))
+    on_sides = F.col("at").bitwiseAND(2 ** len(sides) - 1)
+    none = on_sides == 0
     if common is not None:
-        each = each.join(F.broadcast(common.withColumn("common", F.lit(True))), "term", "left").filter("on = 0 or common is null").drop("common")
-    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter("on = 0 or known").drop("known")
+        each = each.join(F.broadcast(common.withColumn("common", F.lit(True))), "term", "left").filter(none | F.col("common").isNull()).drop("common")
+    known = each.join(lex.withColumn("known", F.lit(True)), "term", "left").filter(none | F.col("known")).drop("known")
     # rows travel as they are: lists begun before the shuffle hold a term or two each, at three times the bytes
-    g = known.repartition(key).groupBy(key).agg(F.first("info", ignorenulls=True).alias("info"),
+    own_key = F.shiftright("at", len(sides))
+    known = known.repartition(first[0] if first else own_key).select(
+        *first, own_key.cast(rows.schema[last].dataType).alias(last), on_sides.alias("on"), "term", "info")
+    g = known.groupBy(*keys).agg(F.first("info", ignorenulls=True).alias("info"),
                                F.sort_array(F.collect_list(F.when(F.col("on") > 0, F.struct("term", "on")))).alias("t"))
-    g = g.select(key, "info", *[F.transform(F.filter("t", _of_side(i)), lambda x: x["term"]).alias(f"_s{i}") for i in every])
-    return g.select(key, *[g["info"][c].alias(c) for c in rest], *[
+    g = g.select(*keys, "info", *[F.transform(F.filter("t", _of_side(i)), lambda x: x["term"]).alias(f"_s{i}") for i in every])
+    return g.select(*keys, *[g["info"][c].alias(c) for c in rest], *[
         F.when(F.size(f"_s{i}") == 0, F.array(F.col("info")[f"_all{i}"])).otherwise(_signatures(F.col(f"_s{i}"))).alias(f"{s}_print")
         for i, s in enumerate(sides)])
 
 
-def _on_sides(bits: int, info: T.DataType):
-    return lambda h: F.struct(h.alias("term"), F.lit(bits).alias("on"), F.lit(None).cast(info).alias("info"))
+def _on_sides(at: Column, info: T.DataType):
+    return lambda h: F.struct(h.alias("term"), at.alias("at"), F.lit(None).cast(info).alias("info"))
 
 
 def _of_side(i: int):
@@ -120,12 +128,12 @@ def _of_side(i: int):
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(row, guest, doc_id, text, next_text): each row with the text of the next one in descending doc_id.
+    """(block, row, guest, doc_id, text, next_text): each row with the text of the next one in descending doc_id.
 
     After the last comes the first; ties are ordered by a hash of the text, null ids come last. Rows are cut into
     blocks of consecutive ids at percentiles of doc_id; the first row of a block is also sent, as a guest, to the
-    block before it in this order, so that a window holds one block and its guest. ``row`` is unique; row >> 32 is the
-    block, and rows follow each other within it. Blocks hold about 60 rows each, up to 4,096 blocks;
+    block before it in this order, so that a window holds one block and its guest. ``row`` counts the rows of a block, in
+    order. Blocks hold about 60 rows each, up to 4,096 blocks;
     of more rows they hold more.
     """
     spark = docs.sparkSession
@@ -156,7 +164,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     each = j.select("doc_id", "text", F.inline(to))
     order = "partition by b order by guest, doc_id desc nulls last, xxhash64(text) desc"
     return each.select("doc_id", "text", "guest", F.expr(f"lead(text) over ({order})").alias("next_text"),
-                    (F.col("b").cast("long") * 2**32 + F.expr(f"row_number() over ({order})")).alias("row"))
+                    F.col("b").alias("block"), F.expr(f"row_number() over ({order})").alias("row"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -175,13 +183,15 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = IDF_BAND)
     docs = docs.select("doc_id", "text")
     rows = with_next(docs)
     rows = rows.withColumn("edited", F.when(~F.col("guest"), edited(F.col("text"), F.col("next_text")))).drop("next_text")
-    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.unhex(F.sha2("edited", 256))})  # half the bytes on the way
     df = settle(_frequencies(docs), "frequencies")
     # a text has few of them: at most exp(band[0]) times the terms of a mean text
     common = df.filter(F.col("df") > docs.count() / math.exp(band[0])).select("term")
-    prints = fingerprint_texts(rows, "row", ["text", "edited"], settle(lexicon(docs, band, df), "lexicon"), common)
-    order = W.partitionBy(F.shiftright("row", 32)).orderBy("row")
-    return prints.withColumn("next_print", F.lead("text_print").over(order)).filter(~F.col("guest")).drop("row", "guest")
+    # gathered by block, the prints need not travel to see the next one
+    prints = fingerprint_texts(rows, ["block", "row"], ["text", "edited"], settle(lexicon(docs, band, df), "lexicon"), common)
+    prints = prints.withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
+    order = W.partitionBy("block").orderBy("row")
+    return prints.withColumn("next_print", F.lead("text_print").over(order)).filter(~F.col("guest")).drop("block", "row", "guest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
