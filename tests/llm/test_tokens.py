@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -77,3 +78,20 @@ def test_pairs_are_kept_by_their_left_piece_and_bounded(both, monkeypatch):
         text = "".join(r.choice("abcderingon") for _ in range(30))
         assert enc.encode(text)[0] == ",".join(map(str, sp.encode(text)))
         assert sum(map(len, enc.fits)) == enc.n_fits <= 200
+
+
+def test_column_is_encoded_side_by_side(both, monkeypatch):
+    """Words of a column are found together, ways back included; single ones remain only for bytes, long and last runs."""
+    enc, sp = both
+    r = random.Random(4)
+    syllables = ["tion", "the", "an", "er", "ée", "qu", "ß", "in", "re", "o", "st", "wh", "X", "Ł", "зв", "漢字", "é", "ing"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 7))) + r.choice(["", "", ".", ".\nEr", "  ", "▁x", "'s", "😀"])
+    texts = [None, "", " ", "▁", *(" ".join(word() for _ in range(r.randint(0, 30))) for _ in range(400)), "anst" * 300]
+    single, chunk = [], Encoder.chunk
+    monkeypatch.setattr(Encoder, "chunk", lambda self, s: single.append(s) or chunk(self, s))
+    enc.words.forget()
+    column = pa.array(["unused", *texts], pa.string()).slice(1)
+    got = list(zip(*(c.to_pylist() for c in enc.encode_all(column))))
+    ids = [sp.encode(t or "") for t in texts]
+    assert got == [(",".join(map(str, i)), len(i), sp.decode(i)) for i in ids]
+    assert len([s for s in single if len(s) <= K.SHORT and enc.alphabet.issuperset(s)]) < K.TOGETHER

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -18,8 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tocsin.llm.common import small_batches, table
 
 MARK = "▁"
-#: Words and chunks (twice as many, in two generations, until the task ends) and pairs (four times) that a task remembers.
+#: Chunks found one by one (twice as many, in two generations, until the task ends) and pairs (four times) that a task remembers.
 MEMO = 100_000
+#: Runs of characters encoded side by side, at least and at most, and the characters of one; fewer or longer ones go one by one.
+TOGETHER, SIDE, SHORT = 64, 32_000, 60
+#: Places for what is known of pairs of pieces; a new pair takes the place of another one.
+PAIRS = 1 << 20
 #: The rank of what is no piece.
 NEVER = 1e18
 
@@ -51,30 +56,131 @@ class Encoder:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.pieces[i], self.ids[p], self.rank[p] = p, i, -sp.get_score(i)
         self._check(sp)
-        self.automaton = ahocorasick.Automaton()
+        self.trie = ahocorasick.Automaton()
         self.shorter = [-1] * n
         own = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [p]}
         self.size: dict[int, int] = {i: len(p) for p, i in own.items()}
         self.texts = [p.replace(MARK, " ") for p in self.pieces]
+        #: by the beginning of a piece: the longest piece that it begins with
+        self.longest: dict[str, int] = {}
         for p, i in own.items():
-            if len(p) > 1:
-                self.automaton.add_word(p, (i, len(p) - 1))
+            self.trie.add_word(p, i)
             self.shorter[i] = next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
-        self.automaton.make_automaton()
+            self.longest.update((p[:k], self.shorter[i]) for k in range(1, len(p)) if p[:k] not in self.longest)
+        for p in sorted(self.longest, key=len):
+            self.longest[p] = own.get(p, self.longest.get(p[:-1], -1))
+        self.longest.update(own)
+        self.span = max(map(len, own), default=1)
         self.own = own
+        self._make_steps()
         #: by the left piece: whether the right one is compatible with it
         self.fits: list[dict[int, bool]] = [{} for _ in range(n)]
         self.n_fits = 0
         self.spines = Table(self._spines)
-        self.single = {p: i for p, i in own.items() if len(p) == 1}
+        self.alphabet = {p for p in own if len(p) == 1}
         inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(pair[1] == MARK and pair[0] != MARK for pair in inner):
             raise ValueError("a piece has the mark inside")
         self.linked = inner
-        self.words = Memo(self._word_text)
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.words = Memo(self._run_text)
         self.parts = re.compile(rf"{MARK}+[^\W\d_]*|[^\W\d_]+|[\W\d_]+").findall
 
+    def _make_steps(self) -> None:
+        """The beginnings of pieces, numbered, as arrays: the step from one to the next by a character."""
+        self.sizes = np.array([self.size.get(i, 0) for i in range(len(self.pieces))])
+        self.cut = np.array(self.shorter)
+        self.name_of, self.text_of = pa.array(self.names), pa.array(self.texts)
+        self.code = np.zeros(0x110000, np.int32)
+        for k, c in enumerate(sorted({c for p in self.own for c in p})):
+            self.code[ord(c)] = k + 1
+        self.width = int(self.code.max()) + 1
+        number = {p: k for k, p in enumerate(["", *sorted(self.longest)])}
+        self.best = np.array([-1, *map(self.longest.__getitem__, sorted(self.longest))])
+        steps = sorted((number[p[:-1]] * self.width + int(self.code[ord(p[-1])]), k) for p, k in number.items() if p)
+        self.step_key, self.step_to = np.array(steps, np.int64).T.copy()
+        self.pair_key, self.pair_fits = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+
+    def _longest_at(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest piece that begins at each place; a code of 0 ends a run."""
+        node, going, to = np.zeros(len(at), np.int64), np.arange(len(at)), at
+        while len(going):
+            key = node[going] * self.width + codes[to]
+            k = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            on = self.step_key[k] == key
+            going, to = going[on], to[on] + 1
+            node[going] = self.step_to[k[on]]
+        return self.best[node]
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` for arrays of pieces."""
+        key = a.astype(np.int64) * len(self.pieces) + b
+        place = (key * 0x9E3779B1 >> 12) % PAIRS
+        out, new = self.pair_fits[place], np.flatnonzero(self.pair_key[place] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            found = np.array([self.compatible(*divmod(k, len(self.pieces))) for k in keys.tolist()])
+            out[new] = found[back]
+            self.pair_key[place[new]], self.pair_fits[place[new]] = key[new], out[new]
+        return out
+
+    def together(self, runs: list[str]) -> tuple[list[str], list[str], list[str]]:
+        """(runs, ids, texts) of short runs of characters that are pieces, by the search of ``_known`` in all of them side by side.
+
+        In each round every run takes its next piece, tries a shorter one or goes back by a piece. The last few are left out.
+        """
+        codes = self.code[np.frombuffer("\0".join([*runs, ""]).encode("utf-32-le"), "<u4")]
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        begin = np.cumsum(size + 1) - size - 1
+        codes[begin + size] = 0
+        live, at, depth, failed = np.arange(len(runs)), *np.zeros((3, len(runs)), np.int64)
+        out = np.zeros((len(runs), SHORT + 1), np.int32)  # the pieces taken, after one that stands for the start
+        out[:, 0] = -1
+        token = self._longest_at(codes, begin)
+        while len(live) >= TOGETHER:
+            t, end, last = token[live], at[live], out[live, depth[live]]
+            end = end + self.sizes[t]
+            ok = (t >= 0) & (failed[live] >> end & 1 == 0)
+            inner = np.flatnonzero(ok & (last >= 0))
+            ok[inner] = self._fit(last[inner], t[inner])
+            on, to = live[ok], end[ok]
+            depth[on] += 1
+            out[on, depth[on]], at[on] = t[ok], to
+            on = on[to < size[on]]
+            token[on] = self._longest_at(codes, begin[on] + at[on])
+            shorter = live[~ok & (t >= 0)]
+            token[shorter] = self.cut[token[shorter]]
+            back = live[t < 0]
+            failed[back] |= 1 << at[back]
+            was = out[back, depth[back]]
+            depth[back] -= 1
+            at[back] -= self.sizes[was]
+            token[back] = self.cut[was]
+            live = live[at[live] < size[live]]
+        done = at == size
+        tokens = out[:, 1:][(np.arange(SHORT) < depth[:, None]) & done[:, None]]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(depth[done])]), pa.int32())
+        ids, texts = (pc.binary_join(pa.ListArray.from_arrays(offsets, c.take(pa.array(tokens))), sep).to_numpy(zero_copy_only=False).tolist()
+                      for c, sep in ((self.name_of, ","), (self.text_of, "")))
+        return [*compress(runs, done.tolist())], ids, texts
+
+    def found(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Ids and texts of distinct words. Their distinct chunks are found together, as far as that goes."""
+        cut = {w: self.chunks(w) for w in words if not w[1:].isalpha()}
+        runs = dict.fromkeys([w for w in words if w not in cut] if cut else words)
+        runs.update(dict.fromkeys(chain.from_iterable(cut.values())))
+        plain = self.alphabet.issuperset
+        short = [c for c in runs if len(c) <= SHORT and plain(c)]
+        ids, texts = {}, {}
+        for k in range(0, len(short), SIDE):
+            some, *got = self.together(short[k:k + SIDE])
+            ids.update(zip(some, got[0]))
+            texts.update(zip(some, got[1]))
+        for c in runs.keys() - ids.keys():
+            ids[c], texts[c] = self.words[c]
+        for of, sep in ((ids, ","), (texts, "")):
+            of.update([(w, sep.join(map(of.__getitem__, c))) for w, c in cut.items()])
+        return [*map(ids.__getitem__, words)], [*map(texts.__getitem__, words)]
+
     @staticmethod
     def _check(sp) -> None:
         """Only plain models: one mark before the text, nothing else changed, unknown characters as bytes."""
@@ -140,21 +246,20 @@ class Encoder:
         return known
 
     def _known(self, s: str) -> list[int]:
-        """Ids of a run of characters that are pieces themselves; KeyError if one is not."""
+        """Ids of a run of characters that are pieces themselves."""
         whole = self.own.get(s)
         if whole is not None:
             return [whole]
-        n = len(s)
-        best = [*map(self.single.__getitem__, s)]
-        for end, (i, back) in self.automaton.iter(s):  # of those with one start the longest comes last
-            best[end - back] = i
+        n, span = len(s), self.span
         failed: bytearray | None = None
-        token = best[0]
+        longest, reach = self.longest, self.trie.longest_prefix
         size, shorter, fits, compatible = self.size, self.shorter, self.fits, self.compatible
+        token = longest[s[:reach(s[:span])]]
         out, at, last = [token], size[token], token  # nothing stands before the first one
         if at == n:
             return out
-        token = best[at]
+        ahead = s[at:at + span]
+        token = longest[ahead[:reach(ahead)]]
         while True:
             right = fits[last] if last >= 0 else None
             while token >= 0:
@@ -170,7 +275,8 @@ class Encoder:
                 out.append(token)
                 if end == n:
                     return out
-                at, last, token = end, token, best[end]
+                at, last, ahead = end, token, s[end:end + span]
+                token = longest[ahead[:reach(ahead)]]
             else:
                 if failed is None:
                     failed = bytearray((n >> 3) + 1)
@@ -182,11 +288,9 @@ class Encoder:
 
     def chunk(self, s: str) -> list[int]:
         """Ids of one chunk; characters that are no pieces become their bytes."""
-        try:
+        if self.alphabet.issuperset(s):
             return self._known(s)
-        except KeyError:  # a character that is no piece
-            pass
-        ids, out, at = self.ids, [], 0
+        ids, out, at = self.alphabet, [], 0
         for k, c in enumerate(s):
             if c not in ids:
                 if k > at:
@@ -197,14 +301,9 @@ class Encoder:
             out += self._known(s[at:])
         return out
 
-    def _word_text(self, word: str) -> tuple[str, str]:
-        """Ids and text of a word or a chunk, which is a word of one chunk."""
-        if not word[1:].isalpha():
-            chunks = self.chunks(word)
-            if len(chunks) > 1 and word not in self.own:
-                ids, texts = zip(*map(self.words.__getitem__, chunks))
-                return ",".join(ids), "".join(texts)
-        ids = self.chunk(word)
+    def _run_text(self, run: str) -> tuple[str, str]:
+        """Ids and text of one chunk."""
+        ids = self.chunk(run)
         return ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
@@ -239,11 +338,29 @@ class Encoder:
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """(ids joined by commas, number of ids, decoded text)."""
-        if not text:
-            return "", 0, ""
-        ids, texts = zip(*map(self.words.__getitem__, self.split(MARK + text.replace(" ", MARK))))
-        ids = ",".join(ids)
-        return ids, ids.count(",") + 1, "".join(texts)[1:]
+        return tuple(c[0].as_py() for c in self.encode_all(pa.array([text], pa.string())))
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """What ``encode`` gives, for a column of texts: each word is looked up once, however often the column has it."""
+        texts = pc.fill_null(texts, "")
+        full = pc.not_equal(texts, "")
+        words = pc.split_pattern(self.marked(texts), " ")
+        coded = words.values.dictionary_encode()
+        got = self.found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, decoded = (pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array(g, pa.string()).take(coded.indices)), sep)
+                        for g, sep in zip(got, (",", "")))
+        ids, decoded = (pc.if_else(full, c, "") for c in (ids, pc.utf8_slice_codeunits(decoded, 1)))
+        n = pc.add(pc.count_substring(ids, ",").cast(pa.int64()), full.cast(pa.int64()))
+        return ids, n, decoded
+
+    @staticmethod
+    def marked(texts: pa.Array) -> pa.Array:
+        """The normal form of texts, with a blank ahead of each run of marks but the first: between the words."""
+        texts = pc.replace_substring(pc.replace_substring(texts, MARK, " "), " ", f" {MARK}")
+        texts = pc.binary_join_element_wise(MARK, texts, "")
+        while pc.any(pc.match_substring(texts, f"{MARK} {MARK}")).as_py():
+            texts = pc.replace_substring(texts, f"{MARK} {MARK}", MARK * 2)
+        return texts
 
 
 class Table(dict):
@@ -267,7 +384,7 @@ class Memo(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > 64:
+            if len(key) > SHORT:
                 return value
         if len(self) >= MEMO:
             self.before = dict(self)
@@ -309,8 +426,7 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
             while at < len(b):  # a few million characters at a time
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
                 part = b.slice(at, to - at)
-                got = [enc.encode(t) for t in part.column("text").to_pylist()]
-                new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+                new = enc.encode_all(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "token_ids", "n_tokens", "decoded"])
                 at = to
 
