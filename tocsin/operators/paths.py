@@ -272,6 +272,11 @@ def recent_track(points: DataFrame, n: int = 5) -> DataFrame:
     return t.select("incident_id", "type", "rank", "_p.lat", "_p.lon", "_p.ts")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """With ``value`` made once a row: the optimizer does not copy it into later filters and expressions."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def speed_stats(points: DataFrame, n: int = 5) -> DataFrame:
     """Track summary per incident with two coordinates or more: speeds, stability, heading, ends."""
     item = F.struct((-F.col("rank")).alias("o"), "lat", "lon", "ts")
@@ -282,7 +287,7 @@ def speed_stats(points: DataFrame, n: int = 5) -> DataFrame:
                           haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]).alias("km"),
                           hours_between(b["ts"], a["ts"]).alias("h")))
     v = F.transform(F.filter(legs, lambda x: x["h"] > 0.001), lambda x: x["km"] / x["h"])
-    t = t.withColumn("v", v)
+    t = once(t, "v", v)
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
     mean = F.when(F.size("v") > 0, total(F.col("v")) / F.size("v")).otherwise(0.0)
     t = t.withColumn("mean_speed", mean)
@@ -295,11 +300,12 @@ def speed_stats(points: DataFrame, n: int = 5) -> DataFrame:
     span = hours_between(F.col("last_pt.ts"), F.col("first_pt.ts"))
     speed = F.when((F.col("mean_speed") < 0.1) & (span > 0.001) & (whole > 0.5), whole / span).otherwise(
         F.col("mean_speed"))
+    t = once(t, "speed", speed)
     stability = F.when((F.size("t") >= 3) & (F.col("mean_speed") > 0),
                        F.greatest(F.lit(0.0), 1 - F.col("speed_dev") / F.col("mean_speed"))).otherwise(0.0)
     return t.select(
         "incident_id", "type", F.size("t").alias("n_track"), "mean_speed", "speed_dev",
-        speed.alias("speed"), stability.alias("stability"),
+        "speed", stability.alias("stability"),
         bearing_deg(F.col("prev_pt.lat"), F.col("prev_pt.lon"), F.col("last_pt.lat"),
                     F.col("last_pt.lon")).alias("bearing"),
         F.col("last_pt.lat").alias("lat"), F.col("last_pt.lon").alias("lon"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -287,7 +287,10 @@ PREDICTORS: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 def forecast(x: Inputs, enabled: list[str] | None = None) -> DataFrame:
-    """Union of the enabled predictors."""
+    """Union of the enabled predictors. The incidents, which each reads several times, are written once."""
+    incidents = cut_lineage(x.incidents, "incidents")
+    x = replace(x, incidents=incidents,
+                past_incidents=incidents if x.past_incidents is x.incidents else x.past_incidents)
     out = None
     for name in enabled or list(PREDICTORS):
         f = PREDICTORS[name](x)
