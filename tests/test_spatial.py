@@ -155,6 +155,25 @@ def test_box_totals_equal_brute_force_and_make_no_pairs(spark):
     assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "place_id" in x and "Join" in x]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_box_totals_broadcast_no_rectangles_of_boxes(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "BROADCAST_KEYS", 300_000 if few else 0)
+    monkeypatch.setattr(S, "BOXES_A_TASK", 7)
+    places = [(i, (i * 37 % 101) / 1000, (i * 53 % 97) / 1000) for i in range(150)]
+    boxes = [(i, i / 1000, (i + 40) / 1000, (90 - i) / 1000, (95 - i % 3) / 1000) for i in range(50)] * 2
+    pdf = spark.createDataFrame(places, "place_id long, lat double, lon double")
+    df = S.places_in_boxes(spark.createDataFrame(boxes, "b int, min_lat double, max_lat double, min_lon double, max_lon double"), pdf, totals=1e-3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == few
+    want = {}
+    for b, a, z, w, e in boxes:
+        inside = [i for i, la, lo in places if a <= la <= z and w <= lo <= e]
+        if inside:
+            n, first = want.get(b, (0, min(inside)))
+            want[b] = (n + len(inside), first)
+    assert {r.b: (r.n, r.first_place) for r in df.collect()} == want
+
+
 def test_attached_places_follow_each_other_by_coordinate(spark):
     places = [(i, f"p{i}", 50.0 + i % 3 / 100, 37.0) for i in range(30)]
     pdf = spark.createDataFrame(places, "place_id long, name string, lat double, lon double")

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tocsin.functions.geo import KM_PER_DEGREE, bearing_deg, cell, chord, haversine_km, sectors_of, unit_vector
-from tocsin.operators.sizing import checked_broadcast, pair_with
+from tocsin.operators.sizing import checked_broadcast, fits_broadcast, pair_with
 from tocsin.session import cut_lineage
 from tocsin.settings import ADMIN_SHORT, ADMIN_TERMS
 
 CELL_DEG = 0.25
+#: Rows of a broadcast of whole numbers only, about 100 bytes each in the join.
+BROADCAST_KEYS = 300_000
+#: Boxes of a task that makes their rectangles, a few hundred each at most.
+BOXES_A_TASK = 100_000
 
 
 def is_administrative(name: Column, short_form: str | None = "word") -> Column:
@@ -269,23 +273,35 @@ def _box_totals(boxes: DataFrame, places: DataFrame, step: float) -> DataFrame:
     """Number and lowest id of the places in each box, by sums over aligned rectangles.
 
     A side of length m is made up of at most 2 log m aligned stretches, so a box is of 4 log m * log m rectangles, and a place
-    lies in one rectangle of each pair of levels: the work follows boxes plus places, not the pairs of them.
+    lies in one rectangle of each pair of levels: the work follows boxes plus places, not the pairs of them. Stretches of
+    latitude without places are left out before they are paired with those of longitude. Boxes travel as numbers.
     """
+    spark = boxes.sparkSession
     whole = lambda c: F.round(F.col(c) * round(1 / step)).try_cast("long")
     keys = boxes.columns
     b = boxes.withColumns({f"_{c}": whole(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")})
-    b = cut_lineage(b, "boxes")
-    tops = b.agg(*[F.max(F.floor(F.log2(F.col(f"_max_{c}") - F.col(f"_min_{c}") + 1))) for c in ("lat", "lon")]).first()
+    b = cut_lineage(b.withColumn("_box", F.monotonically_increasing_id()), "boxes")
+    *tops, rows = b.agg(*[F.max(F.floor(F.log2(F.col(f"_max_{c}") - F.col(f"_min_{c}") + 1))) for c in ("lat", "lon")], F.count("*")).first()
     sides = [("_y", "lat", int(tops[0] or 0)), ("_x", "lon", int(tops[1] or 0))]
     p = places.groupBy(whole("lat").alias("_lat"), whole("lon").alias("_lon")).agg(
         F.count("*").alias("n"), F.min("place_id").alias("first_place"))
-    b = b.select(*keys, *[_dyadic(F.col(f"_min_{c}"), F.col(f"_max_{c}"), top).alias(k) for k, c, top in sides])
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // BOXES_A_TASK))
+    r = b.drop(*keys).repartition(parts).select(
+        "_box", *[_dyadic(F.col(f"_min_{c}"), F.col(f"_max_{c}"), top).alias(k) for k, c, top in sides])
     for k, c, top in sides:
-        b = b.withColumn(k, F.explode(k))
         p = p.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(
             k, F.call_function("shiftright", F.col(f"_{c}"), F.col("_l")) * 64 + F.col("_l"))
     total = [F.sum("n").alias("n"), F.min("first_place").alias("first_place")]
-    return b.join(p.groupBy("_y", "_x").agg(*total), ["_y", "_x"]).groupBy(*keys).agg(*total)
+    p = cut_lineage(p.groupBy("_y", "_x").agg(*total), "rectangles")
+    r = _meet(r.withColumn("_y", F.explode("_y")), p.select("_y").distinct(), ["_y"], "left_semi")
+    r = _meet(r.withColumn("_x", F.explode("_x")), p, ["_y", "_x"]).groupBy("_box").agg(*total)
+    return b.select("_box", *keys).join(r.hint("merge"), "_box").groupBy(*keys).agg(*total)
+
+
+def _meet(exploded: DataFrame, known: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of exploded rows, whose number Spark's estimate misses: ``known`` is broadcast if it has few rows, the other side never."""
+    known = F.broadcast(known) if fits_broadcast(known, BROADCAST_KEYS) else known.hint("merge")
+    return exploded.join(known, on, how)
 
 
 def places_in_boxes(boxes: DataFrame, places: DataFrame, deg: float = CELL_DEG, totals: float | None = None) -> DataFrame:
