@@ -137,6 +137,22 @@ def test_corridor_of_one_point_and_of_a_path(spark):
     assert {r.incident_id: r["count"] for r in got} == {1: 1, 2: 6}  # 10 km: five steps
 
 
+@pytest.mark.parametrize("pick", ["near", "limit", "far"])
+def test_within_radius_decides_at_the_limit_by_great_circle(spark, pick):
+    rnd = random.Random(6)
+    spots = [(i, rnd.choice([0.0, 50.0, 89.9, -60.0]) + i / 1000, rnd.choice([-180.0, 0.0, 37.0, 179.99])) for i in range(60)]
+    pdf = spark.createDataFrame(spots, "place_id long, lat double, lon double")
+    df = spark.createDataFrame([(i, a + 1e-4 * (i % 3), b) for i, a, b in spots], "id long, la double, lo double")
+    pairs = df.crossJoin(pdf.select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct()).withColumn(
+        "d", S.haversine_km(F.col("la"), F.col("lo"), F.col("plat"), F.col("plon"))).collect()
+    far = sorted(r.d for r in pairs)
+    km = {"near": 0.001, "limit": next(d for d in far if d > 1), "far": far[-1]}[pick]  # a pair is just as far apart
+    got = {(r.id, r.plat, r.plon, r.dist) for r in S.within_radius(df, pdf, "la", "lo", km).collect()}
+    assert got == {(r.id, r.plat, r.plon, r.d) for r in pairs if r.d <= km and abs(r.la - r.plat) <= km / S.KM_PER_DEGREE * 1.02}
+    plan = S.within_radius(df, pdf, "la", "lo", km).drop("dist")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("ATAN2")  # the straight distance comes first
+
+
 def test_box_totals_equal_brute_force_and_make_no_pairs(spark):
     rnd = random.Random(5)
     places = [(i, f"p{i}", round(-0.05 + rnd.random() * 0.2, 3), round(-0.05 + rnd.random() * 0.2, 3)) for i in range(300)]
